@@ -80,3 +80,25 @@ def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 60)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(edges, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("root"))
+
+
+#: Row keys up to this number may be broadcast (about 50 bytes each).
+BROADCAST_KEYS = 500_000
+
+
+def without(docs: DataFrame, keys: DataFrame, on: dict[str, object]) -> DataFrame:
+    """The rows of ``docs`` that match no row of ``keys``; ``on`` gives, for each column of ``keys``, the expression over ``docs``.
+
+    Nulls match nulls.  The keys are stored first and broadcast if their number
+    is checked to be small; otherwise both sides are shuffled.
+    """
+    keys = materialize(keys.distinct(), "keys")
+    docs = docs.withColumns({f"__key_{c}": e for c, e in on.items()})
+    keys = keys.select([F.col(c).alias(f"__match_{c}") for c in on])
+    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    same = None
+    for c in on:
+        one = docs[f"__key_{c}"].eqNullSafe(keys[f"__match_{c}"])
+        same = one if same is None else same & one
+    return docs.join(keys, same, "left_anti").drop(*[f"__key_{c}" for c in on])
