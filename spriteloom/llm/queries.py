@@ -1,4 +1,4 @@
-"""The queries ``opN_<name>`` over the corpus tables, with production parameters."""
+"""The queries ``opN_<name>`` over the corpus tables, with production parameters, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,13 +7,53 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import find_leaks
+from .line_frequency import quality_verdicts
+from .minhash_lines import line_classes
+from .mixture import mix
+from .private_data import find_private_data
+from .secret_scan import find_secrets
 from .simhash_dedup import simhash_components
+from .token_trie import token_counts
+from .warc_zstd import archive_round_trip
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_classes(table(spark, sf_dir, "documents"))
+
+
+def op4_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_private_data(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
+def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
