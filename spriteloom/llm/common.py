@@ -13,6 +13,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,3 +103,25 @@ def without(docs: DataFrame, keys: DataFrame, on: dict[str, object]) -> DataFram
         one = docs[f"__key_{c}"].eqNullSafe(keys[f"__match_{c}"])
         same = one if same is None else same & one
     return docs.join(keys, same, "left_anti").drop(*[f"__key_{c}" for c in on])
+
+
+def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Platt's calibration: (a, b) so that 1 / (1 + exp(-(a z + b))) fits labels 0/1.
+
+    Damped Newton steps on smoothed targets, with a weak pull towards (1, 0) that
+    keeps separable data from running off.
+    """
+    n = float(len(y))
+    target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (n - y.sum() + 2))
+    at = np.array([1.0, 0.0])
+    for _ in range(200):
+        q = 1 / (1 + np.exp(-np.clip(at[0] * z + at[1], -40, 40)))
+        w = q * (1 - q)
+        pull = 0.05
+        g = np.array([((q - target) * z).sum(), (q - target).sum()]) + pull * (at - [1, 0])
+        h = np.array([[(w * z * z).sum(), (w * z).sum()], [(w * z).sum(), w.sum()]]) + pull * np.eye(2)
+        step = np.clip(np.linalg.solve(h, g), -0.5, 0.5)
+        at = at - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return max(float(at[0]), 1e-3), float(at[1])

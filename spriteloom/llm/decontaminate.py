@@ -15,10 +15,10 @@ is read: nothing is shuffled, no key is hot, and a lost executor costs its own
 tasks.  Only the places under an item's seeds enter its tiling, so a phrase that
 a third of all documents share costs each of them a few dozen tokens.
 
-Edge cases: null and empty texts share nothing; an item shorter than a seed takes
-its whole length as seed; items without tokens are never found; repeated
-documents are each reported; a null doc_id is reported as null; null item_ids
-are items too; other columns are ignored.
+Edge cases: null and empty texts share nothing; an item of fewer tokens than a seed
+cannot be told from chance and is never found; repeated documents are each
+reported; a null doc_id is reported as null; null item_ids are items too; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import without
+
 SEED = 5
 COVERAGE = 0.6
 SLICE_TOKENS = 2_000_000
@@ -107,51 +109,45 @@ class Slice:
         self.ids = [item_id for item_id, _ in items]
         self.number: dict[str, int] = {}
         self.items = [np.array([self.number.setdefault(w, len(self.number)) for w in words], np.int64) for _, words in items]
-        by_size: dict[int, list[tuple[np.ndarray, int]]] = {}
-        for n, item in enumerate(self.items):
-            size = min(seed, len(item))
-            by_size.setdefault(size, []).append((np.unique(window_hashes(item, size)), n))
-        self.seeds = {}
-        for size, parts in by_size.items():
-            hashes = np.concatenate([h for h, _ in parts])
-            owner = np.repeat([n for _, n in parts], [len(h) for h, _ in parts])
-            order = np.argsort(hashes, kind="stable")
-            self.seeds[size] = hashes[order], owner[order]
-
-    def leaks(self, words: list[str], seed: int, coverage: float) -> Iterator[tuple[int, float, list[tuple[int, int, int]]]]:
+        parts = [np.unique(window_hashes(item, seed)) for item in self.items]
+        hashes = np.concatenate([*parts, np.empty(0, np.uint64)])
+        owner = np.repeat(np.arange(len(parts)), [len(h) for h in parts])
+        order = np.argsort(hashes, kind="stable")
+        self.seed, self.hashes, self.owner = seed, hashes[order], owner[order]
+
+    def leaks(self, words: list[str], coverage: float) -> Iterator[tuple[int, float, list[tuple[int, int, int]]]]:
         """(item number, coverage, tiles) of the items that a tokenised text holds."""
         ids = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        size = self.seed
+        if len(ids) < size:
+            return
         known = ids >= 0
-        for size, (hashes, owner) in self.seeds.items():
-            if len(ids) < size:
-                continue
-            whole = known[: len(ids) - size + 1].copy()
-            for d in range(1, size):
-                whole &= known[d : d + len(whole)]
-            at = np.flatnonzero(whole)
-            h = np.zeros(len(at), np.uint64)
-            for d in range(size):
-                h = h * np.uint64(BASE) + (ids[at + d].astype(np.uint64) + np.uint64(1))
-            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            if not len(at):
-                continue
-            # the seed join: each place in the text with each item that owns its seed
-            place = np.repeat(at, n)
-            item = owner[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            order = np.lexsort((place, item))
-            place, item = place[order], item[order]
-            for part in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1):
-                tokens = self.items[item[part[0]]]
-                # every tile is made of this item's seeds, so only the places under them matter
-                under = np.unique((place[part][:, None] + np.arange(size)).ravel())
-                gaps = np.flatnonzero(np.diff(under) > 1) + 1
-                doc = np.insert(ids[under], gaps, -1)
-                real = np.insert(under, gaps, -1)
-                tiles = [(int(real[i]), j, n) for i, j, n in tile(doc, tokens, size)]
-                covered = sum(n for _, _, n in tiles) / len(tokens)
-                if covered >= coverage:
-                    yield int(item[part[0]]), covered, sorted(tiles)
+        whole = known[: len(ids) - size + 1].copy()
+        for d in range(1, size):
+            whole &= known[d : d + len(whole)]
+        at = np.flatnonzero(whole)
+        h = np.zeros(len(at), np.uint64)
+        for d in range(size):
+            h = h * np.uint64(BASE) + (ids[at + d].astype(np.uint64) + np.uint64(1))
+        lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
+        at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        if not len(at):
+            return
+        # the seed join: each place in the text with each item that owns its seed
+        place = np.repeat(at, n)
+        item = self.owner[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        order = np.lexsort((place, item))
+        place, item = place[order], item[order]
+        for part in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1):
+            wanted = self.items[item[part[0]]]
+            # every tile is made of this item's seeds, so only the places under them matter
+            under = np.unique((place[part][:, None] + np.arange(size)).ravel())
+            gaps = np.flatnonzero(np.diff(under) > 1) + 1
+            doc, real = np.insert(ids[under], gaps, -1), np.insert(under, gaps, -1)
+            tiles = [(int(real[i]), j, n) for i, j, n in tile(doc, wanted, size)]
+            covered = sum(n for _, _, n in tiles) / len(wanted)
+            if covered >= coverage:
+                yield int(item[part[0]]), covered, sorted(tiles)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE, slice_tokens: int = SLICE_TOKENS) -> DataFrame:
@@ -173,7 +169,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage
             for batch in batches:
                 rows = []
                 for k, text in enumerate(batch.column(1)):
-                    for n, covered, tiles in piece.leaks(tokens(text.as_py()), seed, coverage):
+                    for n, covered, tiles in piece.leaks(tokens(text.as_py()), coverage):
                         rows.append((batch.column(0)[k].as_py(), piece.ids[n], covered, len(tiles), max(n for _, _, n in tiles), ",".join(f"{i}:{j}:{n}" for i, j, n in tiles)))
                 columns = zip(*rows, strict=True) if rows else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
@@ -183,6 +179,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of ``docs`` that contain no benchmark item; a null doc_id never matches and stays."""
-    leaks = find_leaks(docs, benchmark, seed, coverage).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that contain no benchmark item; rows that share the doc_id of one that does (null too) go with it."""
+    leaks = find_leaks(docs, benchmark, seed, coverage).select("doc_id")
+    return without(docs, leaks, {"doc_id": F.col("doc_id").cast("long")})

@@ -15,6 +15,7 @@ from .private_data import find_private_data
 from .secret_scan import find_secrets
 from .simhash_dedup import simhash_components
 from .token_trie import token_counts
+from .toxicity import score_toxicity
 from .warc_zstd import archive_round_trip
 
 
@@ -54,6 +55,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

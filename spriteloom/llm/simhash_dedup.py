@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, materialize, without
 
 #: Largest number of distinct fingerprints that one bucket may bring into a task.
 BUCKET = 8192
@@ -185,7 +185,8 @@ def drop_near_copies(docs: DataFrame, size: int = 3, distance: int = 3) -> DataF
     """The rows of ``docs`` whose doc_id is the smallest of its component.
 
     Rows with a null doc_id cannot be named as copies and stay; rows that repeat
-    a kept doc_id are that same document and stay with it.
+    a kept doc_id are that same document and stay with it, whatever their text.
     """
-    keep = simhash_components(docs, size, distance).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(docs.columns).union(docs.where("doc_id is null"))
+    found = simhash_components(docs, size, distance).where("doc_id is not null")
+    each = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    return without(docs, each.where("not stays").select("doc_id"), {"doc_id": F.col("doc_id").cast("long")})
