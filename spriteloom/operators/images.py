@@ -18,7 +18,7 @@ def per_image(pixels: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) ->
     One image is one group: its memory is that of one raster.
     """
 
-    def run(_, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         image = raster(frame)
         out = kernel(image)
         h, w = out.shape[:2]
@@ -32,7 +32,7 @@ def per_image(pixels: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) ->
 def summary(pixels: DataFrame, kernel: Callable[[np.ndarray], list[tuple]], schema: str) -> DataFrame:
     """Rows (image_id, ...) that a kernel makes of each image's raster; ``schema`` names the columns behind the id."""
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         rows = [(key[0], *row) for row in kernel(raster(frame))]
         return pd.DataFrame(rows, columns=["image_id", *[part.split()[0] for part in schema.split(", ")]])
 
@@ -48,7 +48,7 @@ def raster(frame: pd.DataFrame) -> np.ndarray:
 def pack_images(pixels: DataFrame) -> DataFrame:
     """``images`` rows of pixels, one raster at a time."""
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         image = raster(frame)
         return pd.DataFrame([(key[0], None, image.shape[1], image.shape[0], image.tobytes(), "pending", None)], columns=["image_id", "path", "width", "height", "data", "status", "error"])
 
