@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import platt
+from .common import bounded_sample, platt
 
 SAMPLE = 20_000
 VOTERS = 200
@@ -208,7 +208,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.where(remainder() != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
+    ids = bounded_sample(known, ["doc_id"], sample, SEED).collect()
     if not ids:
         return [], np.empty(0)
     chosen = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in ids], "__id long, toxic int")
