@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .common import table
 from .decontaminate import find_leaks
 from .line_frequency import quality_verdicts
@@ -64,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_quality_rules": oracles.QUALITY, "op6_mixture": oracles.MIXTURE, "op7_warc": oracles.WARC}
