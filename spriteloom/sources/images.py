@@ -22,8 +22,8 @@ _MIME = ("png", "jpg", "jpeg", "gif", "bmp")
 def read_images(spark: SparkSession, path: str, glob: str = f"*.{{{','.join(_MIME)}}}") -> DataFrame:
     """``images`` rows of a file or directory; files that cannot be decoded get status "error".
 
-    Spark's image source gives BGR or BGRA from the bottom-right byte order of Java;
-    the channels are put in RGBA order here, an absent alpha is 255.
+    Spark's image source gives BGR or BGRA; the channels are put in RGBA order here,
+    an absent alpha is 255.
     """
     found = spark.read.format("image").option("pathGlobFilter", glob).load(path).select("image.*")
     return from_image_source(found)
