@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, platt
 
-SAMPLE = 20_000
+SAMPLE = 12_000
 VOTERS = 200
 FEATURES = 4000
 #: G statistics (chi-square with one degree of freedom) from which a feature votes, and enters the classifier.
@@ -152,18 +152,19 @@ def information(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> tup
 
 def learn(rows: list[np.ndarray], toxic: np.ndarray, voters: int, features: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Feature numbers, weights and bias of a linear classifier trained on the label model's posterior."""
-    index, row = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    pos = np.bincount(index[toxic[row]], minlength=BUCKETS).astype(float)
-    neg = np.bincount(index[~toxic[row]], minlength=BUCKETS).astype(float)
+    pos, neg = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for r, y in zip(rows, toxic, strict=True):  # a row names each feature once
+        (pos if y else neg)[r] += 1
     odds, g = information(pos, neg, int(toxic.sum()), int((~toxic).sum()))
     ranked = np.lexsort((np.arange(BUCKETS), -g))
     sure = (pos >= 3) & (odds > 1) & (g >= SURE)
     lexicon = np.union1d(ranked[sure[ranked]][:voters], np.arange(len(PATTERNS)))
     place = np.full(BUCKETS, -1)
     place[lexicon] = np.arange(len(lexicon))
-    votes = np.zeros((len(rows), len(lexicon)))
-    at = place[index]
-    votes[row[at >= 0], at[at >= 0]] = 1
+    votes = np.zeros((len(rows), len(lexicon)), np.float32)
+    for i, r in enumerate(rows):
+        at = place[r]
+        votes[i, at[at >= 0]] = 1
     posterior, *_ = label_model(votes, toxic)
     useful = (pos + neg >= 3) & (g >= USEFUL)
     chosen = np.union1d(ranked[useful[ranked]][:features], lexicon)
