@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_sample, materialize
 
 DICT_MAGIC = 0x184D2A5D
 SKIPPABLE = range(0x184D2A50, 0x184D2A60)
@@ -148,8 +148,8 @@ def train_dictionary(pages: DataFrame, samples: int = 400, sample_chars: int = 8
     """A compression dictionary from a bounded sample (``samples`` pages in hash order); empty if there is too little to train on."""
     import zstandard
 
-    rows = pages.where("html is not null").select(F.xxhash64("page_id", "html").alias("k"), F.substring("html", 1, sample_chars).alias("html")).orderBy("k", "html").limit(samples).collect()
-    texts = [r["html"].encode("utf-8", "surrogatepass") for r in rows]
+    rows = bounded_sample(pages.where("html is not null").select("page_id", F.substring("html", 1, sample_chars).alias("html")), ["page_id"], samples, 7).collect()
+    texts = sorted(r["html"].encode("utf-8", "surrogatepass") for r in rows)
     if sum(map(len, texts)) < 8 * size:
         return b""
     try:
