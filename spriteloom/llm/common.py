@@ -83,6 +83,14 @@ def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 60)
     return nodes.join(edges, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("root"))
 
 
+def unused(df: DataFrame) -> str:
+    """A beginning of names that no column of ``df`` has."""
+    tag = "_"
+    while any(c.lower().startswith(tag) for c in df.columns):
+        tag += "_"
+    return tag
+
+
 #: Row keys up to this number may be broadcast (about 50 bytes each).
 BROADCAST_KEYS = 500_000
 
@@ -94,15 +102,16 @@ def without(docs: DataFrame, keys: DataFrame, on: dict[str, object]) -> DataFram
     is checked to be small; otherwise both sides are shuffled.
     """
     keys = materialize(keys.distinct(), "keys")
-    docs = docs.withColumns({f"__key_{c}": e for c, e in on.items()})
-    keys = keys.select([F.col(c).alias(f"__match_{c}") for c in on])
+    tag = unused(docs)
+    docs = docs.withColumns({f"{tag}_key_{c}": e for c, e in on.items()})
+    keys = keys.select([F.col(c).alias(f"{tag}_match_{c}") for c in on])
     if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
     same = None
     for c in on:
-        one = docs[f"__key_{c}"].eqNullSafe(keys[f"__match_{c}"])
+        one = docs[f"{tag}_key_{c}"].eqNullSafe(keys[f"{tag}_match_{c}"])
         same = one if same is None else same & one
-    return docs.join(keys, same, "left_anti").drop(*[f"__key_{c}" for c in on])
+    return docs.join(keys, same, "left_anti").drop(*[f"{tag}_key_{c}" for c in on])
 
 
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
