@@ -45,7 +45,7 @@ STAGES = [
     ("mixture", mixture),
 ]
 
-#: The near-duplicate stage needs XXH64, which DuckDB's SQL does not have; the tests hold run() against a brute-force version.
+#: The near-duplicate stage needs XXH64, which DuckDB's SQL does not have; the tests check its stages one by one.
 ORACLE_SQL = None
 
 
