@@ -1,10 +1,9 @@
 """Fuzzy line dedup by MinHash (operator 3, native).
 
-A line's shingles are ``SHINGLE`` characters long and start at anchors: at every
-word's start and, within a longer word, at every ``STEP`` characters of it, so
-each character lies in a shingle and the anchors fall back into step after an
-edit.  (With ``step`` 1 every character of a word is an anchor.)  The signature is
-the bottom ``SKETCH`` of the shingles' hashes (a bottom-k MinHash).  A band is a run
+A line's shingles are all its runs of ``SHINGLE`` characters, one from every place
+on, whether the text has spaces or not; they make up both the signature and the
+exact similarity.  The signature is the bottom ``SKETCH`` of the shingles' hashes
+(a bottom-k MinHash).  A band is a run
 of ``RUN`` neighbours in that sketch: two lines of similarity j share each next
 shingle of their union with probability j, so a run with j ** RUN, and some run of
 the sketch is shared by 97 % of the pairs at 0.8 and by over 99 % from 0.85 on.
@@ -20,8 +19,8 @@ link between different components is lost, and a band of n lines of one componen
 costs n - 1 checks.
 
 Scale.  Equal lines are one line from the start (a 128-bit hash; 64 bits of it name
-the line while candidates meet).  Lines' texts are never shuffled unless more lines
-meet than may be broadcast.  All aggregates have fixed-width buffers and combine
+the line while candidates meet).  Only the texts of
+lines that met are shuffled, unless more lines meet than may be broadcast.  All aggregates have fixed-width buffers and combine
 before the shuffle.  All expressions run in the JVM.
 
 Edge cases: null and empty texts have no lines; blank lines are never compared
@@ -41,7 +40,6 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize, unused
 
 SHINGLE = 12
-STEP = 8
 SKETCH = 10
 RUN = 3
 SIMILARITY = 0.8
@@ -52,10 +50,9 @@ PLACE = 1 << 31
 _NO_ID = str(-(1 << 63) - 1)
 
 
-def shingles(line: Column, size: int = SHINGLE, step: int = STEP) -> Column:
-    """The sorted distinct hashes of a line's character shingles."""
-    # a step consumes up to `step` characters of a word and the blanks behind it; the shingle is what lies ahead
-    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{size}}}))[^\x20]{{1,{step}}}+\x20*+"), F.lit(1))
+def shingles(line: Column, size: int = SHINGLE) -> Column:
+    """The sorted distinct hashes of all character shingles of a line; a line shorter than a shingle is one."""
+    found = F.when(F.length(line) < size, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{size}}})).")))
     return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
 
 
@@ -77,35 +74,36 @@ def _named(lines: DataFrame) -> DataFrame:
     return lines.withColumn("id", F.xxhash64("line")).withColumn("more", F.xxhash64(F.lit(1), "line"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of lines whose shingle sets have at least the similarity."""
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
-    return joined.where(_alike("x", "y", similarity)).select("a", "b")
+    joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+    # the sets are several times the texts, so they are made behind the shuffles, and bound once per pair
+    sets = F.array(F.struct(shingles(F.col("x"), size).alias("x"), shingles(F.col("y"), size).alias("y")))
+    return joined.where(F.exists(sets, lambda s: _alike(s["x"], s["y"], similarity))).select("a", "b")
 
 
-def _alike(x: str, y: str, similarity: float) -> Column:
+def _alike(x: str | Column, y: str | Column, similarity: float) -> Column:
     """Whether the Jaccard similarity of two sets reaches the threshold; sets of too different sizes are not intersected."""
     n, m = F.size(x), F.size(y)
     both = F.size(F.array_intersect(x, y))
     return F.when((n >= similarity * m) & (m >= similarity * n), both >= similarity * (n + m - both)).otherwise(F.lit(False))
 
 
-def line_components(docs: DataFrame, size: int = SHINGLE, step: int = STEP, sketch: int = SKETCH, run: int = RUN, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def line_components(docs: DataFrame, size: int = SHINGLE, sketch: int = SKETCH, run: int = RUN, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Two tables: (doc_id, pos, id, more) of every line, and (id, root) of the lines that are linked to another one."""
     lines = _named(_lines(docs))
-    signed = materialize(lines.select("doc_id", "pos", "id", "more", F.slice(shingles(F.col("line"), size, step), 1, sketch).alias("low")), "lines-signed")
+    signed = materialize(lines.select("doc_id", "pos", "id", "more", F.slice(shingles(F.col("line"), size), 1, sketch).alias("low")), "lines-signed")
     banded = signed.select("id", F.explode(bands(F.col("low"), run)).alias("band"))
     # bands that two or more different lines share
     heads = banded.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").select("band", "head")
     met = materialize(banded.join(heads, "band").distinct(), "lines-met")
-    # the shingle sets of the lines that met, from one more reading of the documents
+    # the texts of the lines that met, from one more reading of the documents
     wanted = materialize(met.select("id").distinct(), "lines-wanted")
     if wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
         wanted = F.broadcast(wanted)
-    sets = lines.select("id", "line").join(wanted, "id", "left_semi").select("id", shingles(F.col("line"), size, step).alias("grams"))
-    sets = materialize(sets.dropDuplicates(["id"]), "lines-grams")
+    texts = materialize(lines.select("id", "line").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "lines-texts")
     first = met.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    links = materialize(_verified(first, sets, similarity), "lines-links")
+    links = materialize(_verified(first, texts, size, similarity), "lines-links")
     roots = materialize(connected_components(links, "a", "b"), "lines-roots")
     # round two: lines outside the component of their band's head, against the other components of that band
     placed = met.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -117,8 +115,8 @@ def line_components(docs: DataFrame, size: int = SHINGLE, step: int = STEP, sket
     other = placed.where("id <> head").join(stray.select("band").distinct(), "band", "left_semi")
     other = other.select("band", F.col("id").alias("b"), F.col("root").alias("rb"), (F.col("root") != F.col("head_root")).alias("stray_b"))
     # the sets ride along, so that the join itself puts out links and no other pairs
-    rest = rest.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
-    other = other.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b").withColumnRenamed("band", "band_b")
+    rest = rest.join(texts.select(F.col("id").alias("a"), shingles(F.col("line"), size).alias("x")), "a")
+    other = other.join(texts.select(F.col("id").alias("b"), shingles(F.col("line"), size).alias("y")), "b").withColumnRenamed("band", "band_b")
     meet = (F.col("band") == F.col("band_b")) & (F.col("ra") != F.col("rb")) & (~F.col("stray_b") | (F.col("a") < F.col("b")))
     found = materialize(rest.join(other, meet & _alike("x", "y", similarity)).select("a", "b").distinct(), "lines-more")
     if found.limit(1).count():

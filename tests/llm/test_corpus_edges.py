@@ -119,6 +119,28 @@ def test_lines(spark):
     assert set(out) == {1, 2, 4, 5, 6} and out[2][0] == "keep me here" and out[1][0] == f"first line\n\n{near}" and out[1][1] == len(out[1][0]) and out[5] == (None, 0)
 
 
+def test_near_lines_by_all_character_shingles(spark):
+    r = np.random.default_rng(3)
+    lines = []
+    for at in (5, 100, 200):  # one character put into a text without spaces
+        line = "".join(map(chr, r.integers(0x4E00, 0x9000, 400)))
+        lines += [line, line[:at] + "中" + line[at:]]
+    for n in range(30):  # words replaced in a text with spaces
+        words = ["".join(r.choice(list("etaoinshrdlu"), r.integers(2, 10))) for _ in range(40)]
+        lines += [" ".join(words), " ".join(w if k not in (7, 30)[: n % 3] else "other" for k, w in enumerate(words))]
+    lines += ["abcdefgh", "abcdefgh ijklmnop qrstuvwx"]
+    sets = [{x[i : i + 12] for i in range(max(1, len(x) - 11))} for x in lines]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    pairs = [(i, i + 1) for i in range(0, len(lines) - 2, 2)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {x["doc_id"]: x["class_doc_id"] for x in minhash_lines.line_classes(docs).collect()}
+    assert all(alike(sets[i], sets[j]) > 0.9 for i, j in pairs[:3]) and all(got[j] == i for i, j in pairs[:3])
+    sure = [(i, j) for i, j in pairs if alike(sets[i], sets[j]) >= 0.85]
+    assert len(sure) > 20 and sum(got[j] != i for i, j in sure) <= 1  # bands may miss one
+    assert all(got[j] == j for i, j in pairs if alike(sets[i], sets[j]) < 0.8)
+    assert got[len(lines) - 1] == len(lines) - 1
+
+
 def test_a_large_group_of_near_lines_is_one_class(spark):
     words = [f"word{i}" for i in range(60)]
     rows = [(k, " ".join([*words[:30], f"odd{k}", *words[31:]])) for k in range(300)]
