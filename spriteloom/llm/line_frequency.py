@@ -9,7 +9,8 @@ and rejected.  Beside it stand the per-document base rules of ``base_metrics``.
 Exact copies of a text count as one document: copies are the business of the
 near-duplicate operators, and a page that exists twice does not make its lines
 boilerplate.  The limit is ``max(least_docs, share * distinct documents of the
-host)``, so it keeps its meaning when the corpus grows.
+host)``, with a floor of a few documents, so it holds on small hosts and keeps its
+meaning when the corpus grows.
 
 Scale.  Only (host, line hash, text hash, counts) rows are shuffled, pre-combined
 per task; the distinct count is a two-step aggregate keyed by (host, line, text)
@@ -36,7 +37,8 @@ from pyspark.sql import functions as F
 from .common import WORD, materialize, without
 
 
-LEAST_DOCS = 100
+#: A line that no more texts of a host than this have is never frequent; a few, so that small hosts have frequent lines too.
+LEAST_DOCS = 4
 SHARE = 0.01
 #: A document is depleted if it keeps fewer words than this or less than this part of them.
 KEEP_WORDS = 20

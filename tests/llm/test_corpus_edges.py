@@ -164,6 +164,17 @@ def test_quality(spark):
     assert line_frequency.keep_good(copies, least_docs=10, share=0.05).count() == 40  # exact copies are one document
 
 
+def test_frequent_lines_of_small_hosts_by_production_limits(spark):
+    name = lambda n: "".join(chr(97 + int(d)) for d in str(n))
+    line = "subscribe to our letter today and never miss any offer of this site again"
+    text = lambda h, k, every: f"{h} page {name(k)} " + " ".join(f"w{name(k)}x{name(i)}" for i in range(30)) + (f"\n{line}" if k % every == 0 else "")
+    rows = [(100 * h + k, text(f"host{name(h)}", k, every), f"host{h}") for h, (n, every) in enumerate([(50, 7), (50, 1), (10, 2), (10, 3)]) for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    lost = {r["doc_id"] for r in line_frequency.quality_verdicts(docs).where("lost_lines = 1").collect()}
+    # 8 of 50, 50 of 50 and 5 of 10 texts are more than the floor, 4 of 10 are not; the first of a host keeps the line
+    assert lost == {*range(7, 50, 7), *range(101, 150), *range(202, 210, 2)}
+
+
 def test_repeated_windows():
     def slow(words, size=8):
         at = [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]

@@ -23,6 +23,13 @@ def test_against_duckdb(spark, name):
     assert oracle.differences(queries.queries()[name](spark, DATA), oracle.duck(DATA), queries.oracle_sql()[name]) == []
 
 
+def test_frequent_lines_against_duckdb(spark):
+    data = "/root/testdata/sf0.01"  # here lines do exceed the production limits
+    got = queries.queries()["op5_quality_rules"](spark, data)
+    assert got.where("lost_lines > 0").count() > 0
+    assert oracle.differences(got, oracle.duck(data), queries.oracle_sql()["op5_quality_rules"]) == []
+
+
 def luhn(digits):
     return sum(int(c) if k % 2 == 0 else (2 * int(c) - 9 * (int(c) > 4)) for k, c in enumerate(reversed(digits))) % 10 == 0
 
