@@ -14,7 +14,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words everywhere in this subpackage.
@@ -91,6 +91,28 @@ def unused(df: DataFrame) -> str:
     return tag
 
 
+def cut_lines(docs: DataFrame, cut: str) -> DataFrame:
+    """``docs`` with the lines of ``text`` cut out whose numbers are in the sorted array column ``cut`` (null: none).
+
+    ``n_chars``, if there is such a column, follows the new text.
+    """
+    # the kept runs of lines lie between the removed ones: cut there instead of asking for each line
+    parts = F.split("text", "\n")
+    edges = F.concat(F.array(F.lit(-1).cast("long")), F.col(cut), F.array(F.size(parts).cast("long")))
+
+    def kept(parts: Column, edges: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda k: F.slice(parts, (F.element_at(edges, k) + 2).cast("int"), F.greatest(F.lit(0), F.element_at(edges, k + 1) - F.element_at(edges, k) - 1).cast("int")))
+        return F.array_join(F.flatten(runs), "\n")
+
+    # bound once per row, not once per run
+    once = F.element_at(F.transform(F.array(F.struct(parts.alias("p"), edges.alias("e"))), lambda x: kept(x["p"], x["e"])), 1)
+    whole = F.col(cut).isNull()
+    out = docs.withColumn("text", F.when(whole, F.col("text")).otherwise(once))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out
+
+
 #: Row keys up to this number may be broadcast (about 50 bytes each).
 BROADCAST_KEYS = 500_000
 

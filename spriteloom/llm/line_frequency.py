@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, without
+from .common import WORD, cut_lines, materialize, unused
 
 
 #: A line that no more texts of a host than this have is never frequent; a few, so that small hosts have frequent lines too.
@@ -102,15 +102,15 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, host, text_hash, line, copies, words): the distinct normalised lines of each document; line is a hash."""
-    lines = _rows(docs).select("doc_id", "host", "text_hash", F.explode(F.split("text", "\n")).alias("line"))
+    """(doc_id, host, text_hash, pos, line, words): the normalised lines of each document and their numbers from 0; line is a hash."""
+    lines = _rows(docs).select("doc_id", "host", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     clean = F.trim(F.regexp_replace(F.regexp_replace(F.lower("line"), "[0-9]+", "0"), r"[\x20\x09-\x0D]+", " "))
     lines = lines.where(F.trim(F.translate("line", "\t\r\x0b\x0c", "    ")) != "").withColumn("line", clean)
-    return lines.select("doc_id", "host", "text_hash", F.xxhash64("line").alias("line"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("words"))
+    return lines.select("doc_id", "host", "text_hash", "pos", F.xxhash64("line").alias("line"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("words"))
 
 
 def line_loss(docs: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
-    """(__id, __host, __hash, lost_words, lost_lines) of the documents that hold lines above their host's limit."""
+    """(__id, __host, __hash, lost_words, lost_lines, cut) of the documents that hold lines above their host's limit; cut has the lines' numbers."""
     lines = materialize(line_table(docs), "line-table")
     per_text = lines.groupBy("host", "line", "text_hash").agg(F.min("doc_id").alias("first"))
     counts = per_text.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("first").alias("first"))
@@ -122,23 +122,23 @@ def line_loss(docs: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHAR
     if high.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
         high = F.broadcast(high)
     hit = lines.join(high, F.col("host").eqNullSafe(F.col("__host")) & (F.col("line") == F.col("__line"))).where(~F.col("doc_id").eqNullSafe(F.col("__first")))
-    lost = hit.groupBy("doc_id", "host", "text_hash").agg(F.sum("words").alias("lost_words"), F.count("*").alias("lost_lines"))
-    return lost.select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("text_hash").alias("__hash"), "lost_words", "lost_lines")
+    lost = hit.groupBy("doc_id", "host", "text_hash").agg(F.sum("words").alias("lost_words"), F.count("*").alias("lost_lines"), F.array_sort(F.collect_set(F.col("pos").cast("long"))).alias("cut"))
+    return lost.select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("text_hash").alias("__hash"), "lost_words", "lost_lines", "cut")
 
 
-def _verdicts(docs: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, keep_words: int = KEEP_WORDS, keep_part: float = KEEP_PART) -> DataFrame:
+def _text_verdicts(docs: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, keep_words: int = KEEP_WORDS, keep_part: float = KEEP_PART) -> DataFrame:
+    """A row for every different (doc_id, host, text_hash), with the number of its copies and the lines to cut (null: none)."""
     base = base_metrics(docs)
     loss = line_loss(docs, least_docs, share)
     # repeated rows (same doc_id and text) add up their lines in ``loss``: divided by their number below
     again = base.groupBy("doc_id", "host", "text_hash").agg(*[F.first(c).alias(c) for c in base.columns[3:]], F.count("*").alias("copies"))
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("host").eqNullSafe(F.col("__host")) & (F.col("text_hash") == F.col("__hash"))
     lost = lambda c: F.coalesce(F.floor(F.col(c) / F.col("copies")), F.lit(0)).cast("long")
-    out = again.join(loss, on, "left").select(*base.columns, "copies", lost("lost_words").alias("lost_words"), lost("lost_lines").alias("lost_lines"))
+    out = again.join(loss, on, "left").select(*base.columns, "copies", lost("lost_words").alias("lost_words"), lost("lost_lines").alias("lost_lines"), "cut")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     left = F.col("n_words") - F.col("lost_words")
     depleted = (F.col("lost_words") > 0) & ((left < keep_words) | (left < keep_part * F.col("n_words")))
-    out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies", "copy")
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
 
 
 def quality_verdicts(docs: DataFrame, **limits) -> DataFrame:
@@ -146,11 +146,20 @@ def quality_verdicts(docs: DataFrame, **limits) -> DataFrame:
 
     ``limits``: least_docs, share, keep_words, keep_part.
     """
-    return _verdicts(docs, **limits).drop("text_hash")
+    out = _text_verdicts(docs, **limits)
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies", "copy", "text_hash", "cut")
 
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of ``docs`` that pass; their texts stay as they are."""
-    bad = _verdicts(docs, **limits).where("not kept").select("doc_id", "host", "text_hash")
+    """The rows of ``docs`` that pass, their texts without the lines above the limit; ``n_chars``, if there, follows.
+
+    The first document of a host that has such a line keeps it.
+    """
+    tag = unused(docs)
+    names = {c: f"{tag}_{c}" for c in ("doc_id", "host", "text_hash", "kept", "cut")}
+    marked = _text_verdicts(docs, **limits).where("not kept or cut is not null")
+    marked = materialize(marked.select([F.col(c).alias(n) for c, n in names.items()]), "quality-marked")
     text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return without(docs, bad, {"doc_id": F.col("doc_id").cast("long"), "host": F.col("source").cast("string"), "text_hash": text_hash})
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(names["doc_id"])) & F.col("source").cast("string").eqNullSafe(F.col(names["host"])) & (text_hash == F.col(names["text_hash"]))
+    out = docs.join(marked, on, "left").where(F.coalesce(F.col(names["kept"]), F.lit(True)))
+    return cut_lines(out, names["cut"]).select(docs.columns)

@@ -37,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, unused
+from .common import connected_components, cut_lines, materialize, unused
 
 SHINGLE = 12
 SKETCH = 10
@@ -152,18 +152,5 @@ def drop_repeated_lines(docs: DataFrame, **parameters) -> DataFrame:
     gone = line_classes(docs, **parameters).where("not kept").groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias(cut))
     gone = materialize(gone.select(F.col("doc_id").alias(owner), cut), "lines-gone")
     joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(owner)), "left")
-    # the kept runs of lines lie between the removed ones: cut there instead of asking for each line
-    parts = F.split("text", "\n")
-    edges = F.concat(F.array(F.lit(-1).cast("long")), F.col(cut), F.array(F.size(parts).cast("long")))
-
-    def kept(parts: Column, edges: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda k: F.slice(parts, (F.element_at(edges, k) + 2).cast("int"), F.greatest(F.lit(0), F.element_at(edges, k + 1) - F.element_at(edges, k) - 1).cast("int")))
-        return F.array_join(F.flatten(runs), "\n")
-
-    # bound once per row, not once per run
-    once = F.element_at(F.transform(F.array(F.struct(parts.alias("p"), edges.alias("e"))), lambda x: kept(x["p"], x["e"])), 1)
-    whole = F.col(cut).isNull()
-    out = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(once)).where(whole | (F.trim(F.translate("text", "\n\t\r\x0b\x0c", "     ")) != ""))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    out = cut_lines(joined, cut).where(F.col(cut).isNull() | (F.trim(F.translate("text", "\n\t\r\x0b\x0c", "     ")) != ""))
     return out.select(docs.columns)

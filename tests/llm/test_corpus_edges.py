@@ -175,6 +175,18 @@ def test_frequent_lines_of_small_hosts_by_production_limits(spark):
     assert lost == {*range(7, 50, 7), *range(101, 150), *range(202, 210, 2)}
 
 
+def test_frequent_lines_leave_the_texts(spark):
+    name = lambda n: "".join(chr(97 + int(d)) for d in str(n))
+    own = [f"page {name(k)} has {k} " + " ".join(f"w{name(k)}x{name(i)}" for i in range(30)) for k in range(8)]
+    rows = [(k, f"PAGE {k}  of  90\n{t}\n\nall rights reserved by us\nend {name(k)}\nall rights reserved by us", "x", "a", 0) for k, t in enumerate(own)]
+    rows += [rows[7], (50, "x " * 3, "x", "a", 7), (51, own[0] + " elsewhere", "x", "b", 7)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r["doc_id"], r["text"], r["n_chars"]) for r in line_frequency.keep_good(docs).collect())
+    cut = [f"{t}\n\nend {name(k)}" for k, t in enumerate(own)]
+    want = [(0, rows[0][1], 0)] + [(k, cut[k], len(cut[k])) for k in (*range(1, 8), 7)] + [(51, rows[-1][1], 7)]
+    assert got == want and line_frequency.keep_good(docs).dtypes == docs.dtypes
+
+
 def test_repeated_windows():
     def slow(words, size=8):
         at = [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
