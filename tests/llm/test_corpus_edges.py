@@ -371,6 +371,21 @@ def test_network_finds_other_secrets():
     assert secret_scan.fit([], negative) is None
 
 
+def test_long_runs_are_scored_whole(spark):
+    key, path = "xK9mP2qL7vR4tZ8w", "/v2/organisations/settings/integrations/webhooks/deliveries/"
+    for n in (1, 39, 40, 41, 60, 61, 200):
+        text = "b" * 30 + "".join(map(chr, range(0x4E00, 0x4E00 + n))) + "a" * 30
+        found = secret_scan.windows(text, 30, 30 + n)
+        assert set("".join(w[1] for w in found)) == set(text[30 : 30 + n]) and all(len(w[1]) == min(n, 40) and text.find("".join(w)) >= 0 for w in found)
+
+    rows = [(1, f"GET {path}{key} now"), (2, f"GET {path} now"), (3, f"see {path}{key}{path} now")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = secret_scan.span_table(docs).collect()
+    assert {r["doc_id"]: any(key in w["body"] for f in r["found"] for w in f["windows"]) for r in table} == {1: True, 2: False, 3: True}
+    mixed = secret_scan.span_table(spark.createDataFrame([(1, "run 0123456789-0123456789-abcdef-0123456789-abcdeZyxwvq end")], "doc_id long, text string")).collect()[0]["found"]
+    assert [f["kind"] for f in mixed] == [0]
+
+
 def test_trie_is_bounded_and_long_words_agree():
     pieces = {"▁": -3.0, "▁ab": -1.0, "a": -2.0, "b": -2.5, "c": -2.0, "abc": -1.5}
     full, tiny = token_trie.TrieCounter(pieces), token_trie.TrieCounter(pieces, max_nodes=3)
