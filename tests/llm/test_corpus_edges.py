@@ -386,6 +386,18 @@ def test_long_runs_are_scored_whole(spark):
     assert [f["kind"] for f in mixed] == [0]
 
 
+def test_threshold_keeps_the_recall():
+    r = np.random.default_rng(8)
+    body = lambda: "".join(r.choice(list("abcdefgh01"), 20))
+    positive = [("key ", body(), " x") for _ in range(200)]
+    negative = [("key ", body(), " x") for _ in range(400)]  # not to be told apart: the scores of true secrets are low
+    net = secret_scan.fit(positive, negative)
+    assert net.recall >= secret_scan.RECALL and net.threshold < 0.9
+    x, y = np.array([secret_scan.encode(*w) for w in positive + negative]), np.repeat([1.0, 0.0], [200, 400])
+    net.calibrate(x, y)
+    assert (net.score(x[:200]) >= net.threshold).mean() >= secret_scan.RECALL
+
+
 def test_trie_is_bounded_and_long_words_agree():
     pieces = {"▁": -3.0, "▁ab": -1.0, "a": -2.0, "b": -2.5, "c": -2.0, "abc": -1.5}
     full, tiny = token_trie.TrieCounter(pieces), token_trie.TrieCounter(pieces, max_nodes=3)
