@@ -398,6 +398,19 @@ def test_threshold_keeps_the_recall():
     assert (net.score(x[:200]) >= net.threshold).mean() >= secret_scan.RECALL
 
 
+def test_candidates_of_all_kinds():
+    def found(text):
+        return [text[a:b] for a, b in secret_scan.candidates(text, secret_scan.base_spans(text))]
+
+    assert found("auth: q7Xv9LmT2") == ["q7Xv9LmT2"] and found("credential = hunter2Pa55word") == ["hunter2Pa55word"]
+    assert found("pin 48213377") == ["48213377"] and found("the key is 'qzxvwkjh' today") == ["qzxvwkjh"]
+    assert found("x QZXVWKJHGFDSAPOI y") == ["QZXVWKJHGFDSAPOI"] and found("x 4821337748213377 y") == ["4821337748213377"]
+    assert found("name=QZXVWKJHGFDSAPOI") == ["QZXVWKJHGFDSAPOI"] and found("password = hunter2pass") == []
+    assert found("some plain words, nothing more") == []
+    run = "/some/long/path/to/" + "0123456789abcdef" * 2 + "/another/long/path/Z"
+    assert found(run) == [run[:19], run[51:]]  # a base span takes its own part of a run only
+
+
 def test_trie_is_bounded_and_long_words_agree():
     pieces = {"▁": -3.0, "▁ab": -1.0, "a": -2.0, "b": -2.5, "c": -2.0, "abc": -1.5}
     full, tiny = token_trie.TrieCounter(pieces), token_trie.TrieCounter(pieces, max_nodes=3)
