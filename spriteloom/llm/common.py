@@ -113,6 +113,11 @@ def cut_lines(docs: DataFrame, cut: str) -> DataFrame:
     return out
 
 
+def with_rows(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` stored with a number of its own for every row, so that rows are told apart whatever their ids and texts."""
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 #: Row keys up to this number may be broadcast (about 50 bytes each).
 BROADCAST_KEYS = 500_000
 

@@ -26,8 +26,8 @@ before the shuffle.  All expressions run in the JVM.
 Edge cases: null and empty texts have no lines; blank lines are never compared
 and never removed; a line shorter than a shingle is one shingle; a null doc_id
 sorts before all others; repeated rows are equal lines, of which the first copy
-by place stays (rows equal in doc_id and place are one and the same line, kept or
-removed together); a document whose lines all go is itself dropped by
+by place stays (for ``line_classes``, rows equal in doc_id and place are one and the
+same line; ``drop_repeated_lines`` tells all rows apart by numbers of its own); a document whose lines all go is itself dropped by
 ``drop_repeated_lines``; an empty table gives an empty result; extra columns,
 whatever their names, pass through ``drop_repeated_lines`` untouched.
 """
@@ -37,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut_lines, materialize, unused
+from .common import connected_components, cut_lines, materialize, unused, with_rows
 
 SHINGLE = 12
 SKETCH = 10
@@ -62,11 +62,15 @@ def bands(low: Column, run: int) -> Column:
     return runs
 
 
+def _row(df: DataFrame) -> list[str]:
+    return ["row"] if "row" in df.columns else []
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, line) of the lines that are not blank; the line is stripped of white space at its ends and its runs collapse."""
-    flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("pos", "line"))
+    """(doc_id, pos, line), and row if ``docs`` has it, of the lines that are not blank; the line is stripped of white space at its ends and its runs collapse."""
+    flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_row(docs), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("pos", "line"))
     clean = F.trim(F.regexp_replace("line", r"[\x09-\x0D\x20]+", " "))
-    return flat.select("doc_id", "pos", clean.alias("line")).where("line <> ''")
+    return flat.select("doc_id", *_row(docs), "pos", clean.alias("line")).where("line <> ''")
 
 
 def _named(lines: DataFrame) -> DataFrame:
@@ -90,9 +94,9 @@ def _alike(x: str | Column, y: str | Column, similarity: float) -> Column:
 
 
 def line_components(docs: DataFrame, size: int = SHINGLE, sketch: int = SKETCH, run: int = RUN, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Two tables: (doc_id, pos, id, more) of every line, and (id, root) of the lines that are linked to another one."""
+    """Two tables: (doc_id, row if any, pos, id, more) of every line, and (id, root) of the lines that are linked to another one."""
     lines = _named(_lines(docs))
-    signed = materialize(lines.select("doc_id", "pos", "id", "more", F.slice(shingles(F.col("line"), size), 1, sketch).alias("low")), "lines-signed")
+    signed = materialize(lines.select("doc_id", *_row(lines), "pos", "id", "more", F.slice(shingles(F.col("line"), size), 1, sketch).alias("low")), "lines-signed")
     banded = signed.select("id", F.explode(bands(F.col("low"), run)).alias("band"))
     # bands that two or more different lines share
     heads = banded.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").select("band", "head")
@@ -121,7 +125,7 @@ def line_components(docs: DataFrame, size: int = SHINGLE, sketch: int = SKETCH,
     found = materialize(rest.join(other, meet & _alike("x", "y", similarity)).select("a", "b").distinct(), "lines-more")
     if found.limit(1).count():
         roots = materialize(connected_components(links.union(found), "a", "b"), "lines-roots")
-    return signed.select("doc_id", "pos", "id", "more"), roots.select(F.col("node").alias("id"), "root")
+    return signed.drop("low"), roots.select(F.col("node").alias("id"), "root")
 
 
 def line_classes(docs: DataFrame, **parameters) -> DataFrame:
@@ -129,28 +133,35 @@ def line_classes(docs: DataFrame, **parameters) -> DataFrame:
 
     Line numbers count all lines of the text from 0.
     """
-    lines, roots = line_components(docs, **parameters)
     no_id = F.lit(_NO_ID).cast("decimal(20,0)")
     place = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), no_id) * F.lit(PLACE).cast("decimal(10,0)") + F.col("pos")
-    lines = lines.withColumn("place", place.cast("decimal(38,0)"))
-    named = lines.groupBy("id", "more").agg(F.min("place").alias("first")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    linked = named.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("best"))
-    named = named.join(linked, "root", "left").select("id", "more", F.coalesce("best", "first").alias("keep"))
-    out = lines.join(named, ["id", "more"])
+    out = _kept_places(*line_components(docs.select("doc_id", "text"), **parameters), place.cast("decimal(38,0)"))
     number = F.pmod("keep", F.lit(PLACE).cast("decimal(38,0)"))
     doc = ((F.col("keep") - number) / F.lit(PLACE).cast("decimal(10,0)")).cast("decimal(20,0)")
     return out.select("doc_id", F.col("pos").cast("long").alias("line_no"), F.when(doc != no_id, doc).cast("long").alias("class_doc_id"), number.cast("long").alias("class_line_no"), (F.col("place") == F.col("keep")).alias("kept"))
 
 
+def _kept_places(lines: DataFrame, roots: DataFrame, place: Column) -> DataFrame:
+    """``lines`` with their place and the place of their class's first line (keep)."""
+    lines = lines.withColumn("place", place)
+    named = lines.groupBy("id", "more").agg(F.min("place").alias("first")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    linked = named.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("best"))
+    named = named.join(linked, "root", "left").select("id", "more", F.coalesce("best", "first").alias("keep"))
+    return lines.join(named, ["id", "more"])
+
+
 def drop_repeated_lines(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with the removed lines cut out of the texts; documents left without a line go, texts without lines pass unchanged.
 
     ``n_chars``, if there is such a column, follows the new text.
     """
     tag = unused(docs)
-    cut, owner = f"{tag}_gone", f"{tag}_owner"
-    gone = line_classes(docs, **parameters).where("not kept").groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias(cut))
-    gone = materialize(gone.select(F.col("doc_id").alias(owner), cut), "lines-gone")
-    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(owner)), "left")
+    cut, row = f"{tag}_gone", f"{tag}_row"
+    rows = with_rows(docs, row)
+    lines, roots = line_components(rows.select("doc_id", F.col(row).alias("row"), "text"), **parameters)
+    gone = _kept_places(lines, roots, F.struct("doc_id", "row", "pos")).where(~F.col("place").eqNullSafe(F.col("keep")))
+    gone = gone.groupBy("row").agg(F.array_sort(F.collect_set(F.col("pos").cast("long"))).alias(cut))
+    gone = materialize(gone.select(F.col("row").alias(row), cut), "lines-gone")
+    joined = rows.join(gone, row, "left")
     out = cut_lines(joined, cut).where(F.col(cut).isNull() | (F.trim(F.translate("text", "\n\t\r\x0b\x0c", "     ")) != ""))
     return out.select(docs.columns)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, without
+from .common import connected_components, materialize, unused, with_rows, without
 
 #: Largest number of distinct fingerprints that one bucket may bring into a task.
 BUCKET = 8192
@@ -182,11 +182,15 @@ def simhash_components(docs: DataFrame, size: int = 3, distance: int = 3, seed:
 
 
 def drop_near_copies(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component.
+    """One row of ``docs`` for every component: the first one of the smallest doc_id.
 
-    Rows with a null doc_id cannot be named as copies and stay; rows that repeat
-    a kept doc_id are that same document and stay with it, whatever their text.
+    Rows without a doc_id are not weighed against rows with one: of a component's
+    rows without a doc_id one stays too.
     """
-    found = simhash_components(docs, size, distance).where("doc_id is not null")
-    each = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
-    return without(docs, each.where("not stays").select("doc_id"), {"doc_id": F.col("doc_id").cast("long")})
+    row = f"{unused(docs)}_row"
+    rows = with_rows(docs, row)
+    found = materialize(simhash_components(rows.select(F.col(row).alias("doc_id"), "text"), size, distance).select(F.col("doc_id").alias("row"), "component_id"), "simhash-rows")
+    ids = rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    best = found.join(ids, "row").groupBy("component_id", F.col("id").isNull()).agg(F.min(F.struct("id", "row")).alias("best"))
+    gone = found.join(best.select("best.row"), "row", "left_anti").select("row")
+    return without(rows, gone, {"row": F.col(row)}).drop(row)

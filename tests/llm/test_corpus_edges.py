@@ -411,6 +411,19 @@ def test_candidates_of_all_kinds():
     assert found(run) == [run[:19], run[51:]]  # a base span takes its own part of a run only
 
 
+def test_stages_judge_rows_not_ids(spark, bench):
+    text = lambda k: " ".join(f"w{'abcdefghij'[k]}{x}" for x in PROSE.split())
+    # rows without ids: only the first repeats a line at line 2; an id with two texts
+    docs = spark.createDataFrame([(None, f"{text(0)}\nmid\n{text(0)}"), (None, f"{text(1)}\nother\n{text(2)}"), (5, text(3)), (5, f"{text(4)}"), (None, text(5)), (None, text(5))], "doc_id long, text string")
+    got = sorted(r["text"] for r in minhash_lines.drop_repeated_lines(docs).collect())
+    assert got == sorted([f"{text(0)}\nmid", f"{text(1)}\nother\n{text(2)}", text(3), text(4), text(5)])
+    docs = spark.createDataFrame([(None, PROSE), (None, text(1)), (5, PROSE + " x"), (5, text(2)), (6, text(3))], "doc_id long, text string")
+    assert sorted(r["text"] for r in decontaminate.drop_leaking(docs, bench).collect()) == [text(1), text(2), text(3)]
+    docs = spark.createDataFrame([(None, text(1))] * 40 + [(7, text(2))] * 3 + [(7, text(3)), (8, text(3)), (9, text(2))], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in simhash_dedup.drop_near_copies(docs).collect())
+    assert got == [(0, text(1)), (7, text(2)), (7, text(3))]
+
+
 def test_trie_is_bounded_and_long_words_agree():
     pieces = {"▁": -3.0, "▁ab": -1.0, "a": -2.0, "b": -2.5, "c": -2.0, "abc": -1.5}
     full, tiny = token_trie.TrieCounter(pieces), token_trie.TrieCounter(pieces, max_nodes=3)
