@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -48,23 +48,36 @@ def best_lattice(scores: DataFrame, least: int = 8, most: int = 128) -> DataFram
     return scores.withColumn("score", score).groupBy("image_id").agg(F.min_by(F.struct("size", "offset", "score"), F.struct("score", "place")).alias("best")).select("image_id", "best.*")
 
 
-def reconstruction_errors(pixels: DataFrame, mask: DataFrame, out_sizes: list[tuple[int, int]], window: int = 3, stride: int = 1) -> DataFrame:
-    """(image_id, outW, outH, err, n): summed absolute difference of the masked pixels to the colour of their cell, per candidate size."""
-    tried = F.explode(F.array(*[F.struct(F.lit(w).alias("outW"), F.lit(h).alias("outH")) for w, h in out_sizes]))
-    base = P.frames(pixels).select("*", tried.alias("__c")).select("image_id", "iw", "ih", "__c.*")
+def all_sizes(w: str, h: str) -> Column:
+    """The sizes (outW, outH) that the full search tries on an image: every outH from max(2, h / 32) to h / 4, 128 at most."""
+    width, height = F.col(w), F.col(h)
+    least = F.greatest(F.lit(2), F.floor(height / 32))
+    most = F.least(F.lit(128), F.greatest(least, F.floor(height / 4)))
+    sizes = F.transform(F.sequence(least, most), lambda n: F.struct(F.greatest(F.lit(2), F.floor(n * (width / height) + 0.5)).cast("int").alias("outW"), n.cast("int").alias("outH")))
+    return F.filter(sizes, lambda s: (s["outW"] <= 256) & (s["outH"] <= 256) & (width > s["outW"]) & (height > s["outH"]))
+
+
+def reconstruction_errors(pixels: DataFrame, mask: DataFrame, out_sizes: list[tuple[int, int]] | None, window: int = 3, stride: int = 1) -> DataFrame:
+    """(image_id, outW, outH, err, n): summed absolute difference of the masked pixels to the colour of their cell, per candidate size (None: all sizes of the full search)."""
+
+    def tried(w: str, h: str) -> Column:
+        return F.explode(all_sizes(w, h) if out_sizes is None else F.array(*[F.struct(F.lit(a).alias("outW"), F.lit(b).alias("outH")) for a, b in out_sizes]))
+
+    base = P.frames(pixels).select("*", tried("iw", "ih").alias("__c")).select("image_id", "iw", "ih", "__c.*")
     grids = base.select("image_id", "outW", "outH", (F.col("iw") / F.col("outW")).alias("cellW"), (F.col("ih") / F.col("outH")).alias("cellH"), F.lit(0.0).alias("cropX"), F.lit(0.0).alias("cropY"))
 
     def tagged(df: DataFrame) -> DataFrame:
         """A candidate is an image of its own while it is sampled."""
         return df.withColumn("image_id", F.struct("image_id", "outW", "outH"))
 
-    every = pixels.select("*", tried.alias("__c")).select(*pixels.columns, "__c.*")
-    small = P.downsample(tagged(every), tagged(grids), window)
+    every = pixels.select("*", tried("w", "h").alias("__c")).select(*pixels.columns, "__c.*")
+    # many candidates make these joins far larger than their inputs: sorted, not broadcast
+    small = P.downsample(tagged(every).hint("merge"), tagged(grids), window)
     on = pixels.join(mask.where("a >= 16").select("image_id", "y", "x"), ["image_id", "y", "x"], "left_semi").where((F.col("x") % stride == 0) & (F.col("y") % stride == 0))
     place = on.join(grids, "image_id").select("image_id", "outW", "outH", F.col("r").alias("r0"), F.col("g").alias("g0"), F.col("b").alias("b0"), F.least(F.col("outW") - 1, F.floor(F.col("x") / F.col("cellW"))).cast("int").alias("x"), F.least(F.col("outH") - 1, F.floor(F.col("y") / F.col("cellH"))).cast("int").alias("y"))
     cell = small.select(F.col("image_id.image_id").alias("image_id"), F.col("image_id.outW").alias("outW"), F.col("image_id.outH").alias("outH"), "x", "y", "r", "g", "b")
     gap = F.abs(F.col("r") - F.col("r0")) + F.abs(F.col("g") - F.col("g0")) + F.abs(F.col("b") - F.col("b0"))
-    return place.join(cell, ["image_id", "outW", "outH", "x", "y"]).groupBy("image_id", "outW", "outH").agg(F.sum(gap).alias("err"), F.count("*").alias("n"))
+    return place.join(cell.hint("merge"), ["image_id", "outW", "outH", "x", "y"]).groupBy("image_id", "outW", "outH").agg(F.sum(gap).alias("err"), F.count("*").alias("n"))
 
 
 def best_size(errors: DataFrame) -> DataFrame:

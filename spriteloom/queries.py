@@ -430,7 +430,7 @@ def grid_search_error(spark, sf_dir):
 @query()
 def grid_search_best(spark, sf_dir):
     px = pixels(spark, sf_dir)
-    return G.best_size(G.reconstruction_errors(px, px.where("r < 230"), SIZES))
+    return G.best_size(G.reconstruction_errors(px, px.where("r < 230"), None))
 
 
 # ---- palettes and dithering -------------------------------------------------------

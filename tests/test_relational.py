@@ -110,3 +110,15 @@ def test_query(spark, con, name):
         assert oracle.differences(df, con, queries.oracle_sql()[name]) == []
     else:
         assert df.count() > 0
+
+
+def test_grid_search_tries_all_sizes(spark, monkeypatch):
+    from spriteloom import queries as image_queries
+    from spriteloom.operators import grids
+
+    rows = [(1, 32, 32, y, x, *[(37 * (x // 4) + 91 * (y // 4) + 53 * (x // 4) * (y // 4) + k) % 200 for k in (0, 60, 140)], 255) for y in range(32) for x in range(32)]
+    px = spark.createDataFrame(rows, "image_id long, w int, h int, y int, x int, r int, g int, b int, a int").cache()
+    tried = grids.reconstruction_errors(px, px, None).select("outW", "outH").collect()
+    assert sorted(map(tuple, tried)) == [(n, n) for n in range(2, 9)]
+    monkeypatch.setattr(image_queries, "pixels", lambda *a: px)
+    assert [tuple(r) for r in image_queries.queries()["grid_search_best"](spark, "").collect()] == [(1, 8, 8)]
