@@ -2,26 +2,36 @@
 
 A line's shingles are all its runs of ``SHINGLE`` characters, one from every place
 on, whether the text has spaces or not; they make up both the signature and the
-exact similarity.  The signature is the bottom ``SKETCH`` of the shingles' hashes
-(a bottom-k MinHash).  A band is a run
-of ``RUN`` neighbours in that sketch: two lines of similarity j share each next
-shingle of their union with probability j, so a run with j ** RUN, and some run of
-the sketch is shared by 97 % of the pairs at 0.8 and by over 99 % from 0.85 on.
-Lines that meet are verified by the exact Jaccard similarity of their shingle sets,
-links go through the distributed union-find, and of every component the earliest
-line (by doc_id, then place in the document) stays.
-
-No pairs are formed within a band.  Round one verifies every line of a band
-against the band's smallest line only.  Round two takes the lines that are not in
-the component of their band's smallest line, and verifies them against the lines
-of other components in that band inside the join, which puts out links only.  So no
-link between different components is lost, and a band of n lines of one component
-costs n - 1 checks.
+exact similarity.  The signature is a bottom-k MinHash: the first ``SKETCH`` shingles
+in a fixed random order.  That order puts the shingles that begin with a letter of
+``FIRST`` before all others, and goes by hash within either part, so that of a long
+line only one shingle in six need be hashed.  A band is a run of ``RUN`` neighbours in
+that sketch: two lines of similarity j share each next shingle of their union with
+probability j, so a run with j ** RUN, and some run of the sketch is shared by 97 %
+of the pairs at 0.8 and by over 99 % from 0.85 on.  Lines that meet are verified by
+the exact Jaccard similarity of their shingle sets, links go through the distributed
+union-find, and of every component the earliest line (by doc_id, then place in the
+document) stays.
+
+Not all pairs of a band are formed:
+
+1. Every line of a band is verified against the band's smallest line only.
+2. Bands that still hold lines of different components are open.  Where these make
+   at most ``CROWD`` pairs, the pairs are verified.
+3. The lines of all other open bands are joined by prefix filtering, which is exact:
+   with the shingles of a line ordered from the rarest to the most frequent one, two
+   lines that reach the similarity share a shingle in their first parts, and what lies
+   behind that shingle is still enough for it.  A passage that very many lines hold
+   makes its shingles frequent, so lines that have nothing else in common never meet.
+
+So no link between different components of a band is lost.
 
 Scale.  Equal lines are one line from the start (a 128-bit hash; 64 bits of it name
-the line while candidates meet).  Only the texts of
-lines that met are shuffled, unless more lines meet than may be broadcast.  All aggregates have fixed-width buffers and combine
-before the shuffle.  All expressions run in the JVM.
+the line while candidates meet, and a line whose name is not its own alone is left to
+exact equality).  Bands are counted by an aggregate that combines before the shuffle;
+the bands that lines share are broadcast if their number is checked to be small and
+joined otherwise.  Only the texts of lines that met are shuffled.  All expressions run
+in the JVM.
 
 Edge cases: null and empty texts have no lines; blank lines are never compared
 and never removed; a line shorter than a shingle is one shingle; a null doc_id
@@ -34,8 +44,11 @@ whatever their names, pass through ``drop_repeated_lines`` untouched.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import connected_components, cut_lines, materialize, unused, with_rows
 
@@ -43,23 +56,44 @@ SHINGLE = 12
 SKETCH = 10
 RUN = 3
 SIMILARITY = 0.8
-#: Line names up to this number may be broadcast (8 bytes each).
-BROADCAST_LINES = 500_000
+#: Letters whose shingles come first in the order of the signature (a character class).
+FIRST = "ae"
+#: Pairs of lines in different components up to which an open band is verified pair by pair.
+CROWD = 64
+#: Line names and bands up to this number may be broadcast (8 bytes each).
+BROADCAST_LINES = 1_000_000
 #: A place is doc_id * PLACE + the line's number, as one decimal; a null doc_id comes before all others.
 PLACE = 1 << 31
 _NO_ID = str(-(1 << 63) - 1)
+_SPACE = "\t\r\x0b\x0c"
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once per row, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
 
+def shingles(line: Column, size: int = SHINGLE, first: str = ".") -> Column:
+    """All character shingles of a line, repeats included; with ``first`` only those that begin with a character of that class.  A line shorter than a shingle is one."""
+    return F.when(F.length(line) < size, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(rf"(?s)(?=({first}.{{{size - 1}}})).")))
 
-def shingles(line: Column, size: int = SHINGLE) -> Column:
-    """The sorted distinct hashes of all character shingles of a line; a line shorter than a shingle is one."""
-    found = F.when(F.length(line) < size, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{size}}})).")))
+
+def _hashes(found: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
 
 
-def bands(low: Column, run: int) -> Column:
+def sketch(line: Column, size: int = SHINGLE, k: int = SKETCH) -> Column:
+    """The hashes of the first ``k`` shingles in the signature's order."""
+    some, rest = _hashes(shingles(line, size, f"[{FIRST}]")), _hashes(shingles(line, size, f"[^{FIRST}]"))
+    # a short line is one shingle in both parts
+    whole = lambda s: F.when((F.size(s) >= k) | (F.length(line) < size), s).otherwise(F.slice(F.concat(s, rest), 1, k))
+    return bound(F.slice(some, 1, k), whole)
+
+
+def bands(low: Column, run: int = RUN) -> Column:
     """The hashes of the runs of neighbours in a sketch; of the whole sketch if it is shorter than a run."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(low) - run + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(low, i, run)))
-    return runs
+    runs = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.size(s) - run + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(s, i, run)))
+    return bound(low, runs)
 
 
 def _row(df: DataFrame) -> list[str]:
@@ -69,7 +103,10 @@ def _row(df: DataFrame) -> list[str]:
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, line), and row if ``docs`` has it, of the lines that are not blank; the line is stripped of white space at its ends and its runs collapse."""
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_row(docs), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("pos", "line"))
-    clean = F.trim(F.regexp_replace("line", r"[\x09-\x0D\x20]+", " "))
+    odd = F.contains("line", F.lit("  "))
+    for c in _SPACE:
+        odd = odd | F.contains("line", F.lit(c))
+    clean = F.trim(F.when(odd, F.regexp_replace("line", r"[\x09-\x0D\x20]+", " ")).otherwise(F.col("line")))
     return flat.select("doc_id", *_row(docs), "pos", clean.alias("line")).where("line <> ''")
 
 
@@ -78,54 +115,71 @@ def _named(lines: DataFrame) -> DataFrame:
     return lines.withColumn("id", F.xxhash64("line")).withColumn("more", F.xxhash64(F.lit(1), "line"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of lines whose shingle sets have at least the similarity."""
-    joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    # the sets are several times the texts, so they are made behind the shuffles, and bound once per pair
-    sets = F.array(F.struct(shingles(F.col("x"), size).alias("x"), shingles(F.col("y"), size).alias("y")))
-    return joined.where(F.exists(sets, lambda s: _alike(s["x"], s["y"], similarity))).select("a", "b")
-
+def _few(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it is checked to be small."""
+    return F.broadcast(df) if df.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES else df
 
-def _alike(x: str | Column, y: str | Column, similarity: float) -> Column:
-    """Whether the Jaccard similarity of two sets reaches the threshold; sets of too different sizes are not intersected."""
-    n, m = F.size(x), F.size(y)
-    both = F.size(F.array_intersect(x, y))
-    return F.when((n >= similarity * m) & (m >= similarity * n), both >= similarity * (n + m - both)).otherwise(F.lit(False))
 
-
-def line_components(docs: DataFrame, size: int = SHINGLE, sketch: int = SKETCH, run: int = RUN, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of lines whose shingle sets have at least the similarity."""
+    side = lambda k, n, t: texts.select(F.col("id").alias(k), F.col("n").alias(n), F.col("line").alias(t))
+    joined = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b")
+    near = (F.col("n") >= similarity * F.col("m")) & (F.col("m") >= similarity * F.col("n"))
+    # sets of too different sizes are not compared; the sets are several times the texts, so they are made behind the shuffles
+    both = F.when(near, F.size(F.array_intersect(shingles(F.col("x"), size), shingles(F.col("y"), size)))).otherwise(0)
+    return joined.withColumn("both", both).where(F.col("both") >= similarity * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b")
+
+
+def _prefix_pairs(crowd: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, b): the pairs of lines of ``crowd`` (id, root) in different components that prefix filtering leaves; none that reaches the similarity is missing."""
+    tokens = texts.join(crowd, "id").select("id", "root", "n", F.explode(F.array_distinct(F.transform(shingles(F.col("line"), size), lambda s: F.xxhash64(s)))).alias("token"))
+    tokens = materialize(tokens, "lines-tokens")
+    # a shingle of one line, or of one component's lines, makes no pair, but has its place among the rarest
+    often = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token", "df")
+    shared = tokens.join(often, "token")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
+    before = F.col("n") - F.count("*").over(Window.partitionBy("id"))
+    left = shared.select("id", "root", "n", "token", (F.col("n") - (before + rank - 1)).alias("left"))
+    left = materialize(left.where(F.col("left") >= similarity * F.col("n") - 1e-9), "lines-prefixes")
+    # what lies behind the first shared shingle must hold the whole intersection, and the rest of this shingle's line is no smaller
+    need = similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9
+    one = left.select("token", F.col("id").alias("a"), F.col("root").alias("ra"), "n", F.col("left").alias("p"))
+    two = left.select("token", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("m"), F.col("left").alias("q"))
+    return one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.col("p") >= need) & (F.col("q") >= need)).select("a", "b").distinct()
+
+
+def line_components(docs: DataFrame, size: int = SHINGLE, k: int = SKETCH, run: int = RUN, similarity: float = SIMILARITY, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """Two tables: (doc_id, row if any, pos, id, more) of every line, and (id, root) of the lines that are linked to another one."""
     lines = _named(_lines(docs))
-    signed = materialize(lines.select("doc_id", *_row(lines), "pos", "id", "more", F.slice(shingles(F.col("line"), size), 1, sketch).alias("low")), "lines-signed")
-    banded = signed.select("id", F.explode(bands(F.col("low"), run)).alias("band"))
+    signed = materialize(lines.select("doc_id", *_row(lines), "pos", "id", "more", bands(sketch(F.col("line"), size, k), run).alias("bands")), "lines-signed")
+    banded = signed.select("id", F.explode("bands").alias("band"))
     # bands that two or more different lines share
     heads = banded.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").select("band", "head")
-    met = materialize(banded.join(heads, "band").distinct(), "lines-met")
+    heads = materialize(heads, "lines-heads")
+    met = materialize(banded.join(_few(heads), "band").distinct(), "lines-met")
     # the texts of the lines that met, from one more reading of the documents
-    wanted = materialize(met.select("id").distinct(), "lines-wanted")
-    if wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
-        wanted = F.broadcast(wanted)
-    texts = materialize(lines.select("id", "line").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "lines-texts")
+    wanted = _few(materialize(met.select("id").distinct(), "lines-wanted"))
+    texts = lines.select("id", "more", "line").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"), F.min("more").alias("lo"), F.max("more").alias("hi"))
+    texts = texts.where("lo = hi").select("id", "line", F.size(F.array_distinct(shingles(F.col("line"), size))).alias("n"))
+    texts = materialize(texts, "lines-texts")
     first = met.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
     links = materialize(_verified(first, texts, size, similarity), "lines-links")
     roots = materialize(connected_components(links, "a", "b"), "lines-roots")
-    # round two: lines outside the component of their band's head, against the other components of that band
+    # open bands: lines of different components, of which the head has met all
     placed = met.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    tops = roots.select(F.col("node").alias("head"), F.col("root").alias("head_root"))
-    placed = placed.join(tops, "head", "left").withColumn("head_root", F.coalesce("head_root", "head"))
-    placed = materialize(placed.select("band", "id", "head", "root", "head_root"), "lines-placed")
-    stray = placed.where("root <> head_root")
-    rest = stray.select("band", F.col("id").alias("a"), F.col("root").alias("ra"))
-    other = placed.where("id <> head").join(stray.select("band").distinct(), "band", "left_semi")
-    other = other.select("band", F.col("id").alias("b"), F.col("root").alias("rb"), (F.col("root") != F.col("head_root")).alias("stray_b"))
-    # the sets ride along, so that the join itself puts out links and no other pairs
-    rest = rest.join(texts.select(F.col("id").alias("a"), shingles(F.col("line"), size).alias("x")), "a")
-    other = other.join(texts.select(F.col("id").alias("b"), shingles(F.col("line"), size).alias("y")), "b").withColumnRenamed("band", "band_b")
-    meet = (F.col("band") == F.col("band_b")) & (F.col("ra") != F.col("rb")) & (~F.col("stray_b") | (F.col("a") < F.col("b")))
-    found = materialize(rest.join(other, meet & _alike("x", "y", similarity)).select("a", "b").distinct(), "lines-more")
+    placed = materialize(placed, "lines-placed")
+    parts = placed.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("inside"), F.count("*").alias("roots"))
+    open_bands = parts.where("n > 2 and roots > 1").select("band", ((F.col("n") * F.col("n") - F.col("inside")) / 2 <= crowd).alias("small"))
+    left = materialize(placed.join(open_bands, "band"), "lines-open")
+    one = left.where("small and id <> head").select("band", F.col("id").alias("a"), F.col("root").alias("ra"))
+    two = left.where("small and id <> head").select("band", F.col("id").alias("b"), F.col("root").alias("rb"))
+    pairs = one.join(two, "band").where("a < b and ra <> rb").select("a", "b").distinct()
+    many = left.where("not small").select("id", "root").distinct()
+    pairs = materialize(pairs.union(_prefix_pairs(many, texts, size, similarity)).distinct(), "lines-pairs")
+    found = materialize(_verified(pairs, texts, size, similarity), "lines-more")
     if found.limit(1).count():
         roots = materialize(connected_components(links.union(found), "a", "b"), "lines-roots")
-    return signed.drop("low"), roots.select(F.col("node").alias("id"), "root")
+    return signed.drop("bands"), roots.select(F.col("node").alias("id"), "root")
 
 
 def line_classes(docs: DataFrame, **parameters) -> DataFrame:
