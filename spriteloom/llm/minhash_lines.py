@@ -23,6 +23,8 @@ Not all pairs of a band are formed:
    lines that reach the similarity share a shingle in their first parts, and what lies
    behind that shingle is still enough for it.  A passage that very many lines hold
    makes its shingles frequent, so lines that have nothing else in common never meet.
+   Here too the smallest and the largest line of a shingle come first, and other
+   pairs follow only between the components that are then left.
 
 So no link between different components of a band is lost.
 
@@ -60,6 +62,8 @@ SIMILARITY = 0.8
 FIRST = "ae"
 #: Pairs of lines in different components up to which an open band is verified pair by pair.
 CROWD = 64
+#: Words of 64 parities by which pairs are excluded before their sets are made (a power of two).
+WORDS = 16
 #: Line names and bands up to this number may be broadcast (8 bytes each).
 BROADCAST_LINES = 1_000_000
 #: A place is doc_id * PLACE + the line's number, as one decimal; a null doc_id comes before all others.
@@ -120,32 +124,68 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES else df
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of lines whose shingle sets have at least the similarity."""
-    side = lambda k, n, t: texts.select(F.col("id").alias(k), F.col("n").alias(n), F.col("line").alias(t))
-    joined = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b")
-    near = (F.col("n") >= similarity * F.col("m")) & (F.col("m") >= similarity * F.col("n"))
-    # sets of too different sizes are not compared; the sets are several times the texts, so they are made behind the shuffles
-    both = F.when(near, F.size(F.array_intersect(shingles(F.col("x"), size), shingles(F.col("y"), size)))).otherwise(0)
+def _tokens(texts: DataFrame, size: int) -> DataFrame:
+    """(columns of ``texts`` but the line, token): the hashes of each line's distinct shingles."""
+    others = [c for c in texts.columns if c != "line"]
+    return texts.select(*others, F.explode(F.array_distinct(shingles(F.col("line"), size))).alias("shingle")).select(*others, F.xxhash64("shingle").alias("token"))
+
+
+def _parities(texts: DataFrame, size: int) -> DataFrame:
+    """(id, n, p0 ...): the number of a line's shingles, and for each bit of ``WORDS`` words whether an odd number of them fall on it."""
+    word, bit = F.col("token").bitwiseAND(F.lit(WORDS - 1)), F.shiftright("token", 32).bitwiseAND(F.lit(63)).cast("int")
+    odd = [F.bit_xor(F.when(word == w, F.expr("shiftleft(1L, __bit)")).otherwise(F.lit(0).cast("long"))).alias(f"p{w}") for w in range(WORDS)]
+    return _tokens(texts, size).withColumn("__bit", bit).groupBy("id").agg(F.count("*").cast("int").alias("n"), *odd)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of lines whose shingle sets have at least the similarity.
+
+    A shingle of both lines changes the same parity in either, so the bits in which
+    their parities differ are at most as many as the shingles that only one of them
+    has: pairs that this bound excludes need no sets.
+    """
+    one = marks.select(F.col("id").alias("a"), "n", *[F.col(f"p{w}").alias(f"x{w}") for w in range(WORDS)])
+    two = marks.select(F.col("id").alias("b"), F.col("n").alias("m"), *[F.col(f"p{w}").alias(f"y{w}") for w in range(WORDS)])
+    apart = sum((F.bit_count(F.col(f"x{w}").bitwiseXOR(F.col(f"y{w}"))) for w in range(WORDS)), F.lit(0))
+    most = F.least(F.col("n"), F.col("m"), (F.col("n") + F.col("m") - apart) / 2)
+    able = pairs.join(one, "a").join(two, "b").where(most >= similarity * (F.col("n") + F.col("m") - most)).select("a", "b", "n", "m")
+    joined = able.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+    # the sets are several times the texts, so they are made behind the shuffles
+    both = F.size(F.array_intersect(shingles(F.col("x"), size), shingles(F.col("y"), size)))
     return joined.withColumn("both", both).where(F.col("both") >= similarity * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b")
 
 
-def _prefix_pairs(crowd: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(a, b): the pairs of lines of ``crowd`` (id, root) in different components that prefix filtering leaves; none that reaches the similarity is missing."""
-    tokens = texts.join(crowd, "id").select("id", "root", "n", F.explode(F.array_distinct(F.transform(shingles(F.col("line"), size), lambda s: F.xxhash64(s)))).alias("token"))
-    tokens = materialize(tokens, "lines-tokens")
+def _prefixes(crowd: DataFrame, texts: DataFrame, marks: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(id, n, token, left): of each line of ``crowd`` (id, root) the rarest shingles, one of which it shares with any line that reaches the similarity; left is how many shingles follow, itself included."""
+    tokens = materialize(_tokens(texts.join(crowd, "id").join(marks.select("id", "n"), "id"), size), "lines-tokens")
     # a shingle of one line, or of one component's lines, makes no pair, but has its place among the rarest
     often = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token", "df")
-    shared = tokens.join(often, "token")
+    shared = tokens.select("id", "n", "token").join(often, "token")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
     before = F.col("n") - F.count("*").over(Window.partitionBy("id"))
-    left = shared.select("id", "root", "n", "token", (F.col("n") - (before + rank - 1)).alias("left"))
-    left = materialize(left.where(F.col("left") >= similarity * F.col("n") - 1e-9), "lines-prefixes")
-    # what lies behind the first shared shingle must hold the whole intersection, and the rest of this shingle's line is no smaller
+    left = shared.select("id", "n", "token", (F.col("n") - (before + rank - 1)).alias("left"))
+    return materialize(left.where(F.col("left") >= similarity * F.col("n") - 1e-9), "lines-prefixes")
+
+
+def _placed(df: DataFrame, roots: DataFrame) -> DataFrame:
+    """With the root of every line's component; a line without links is its own."""
+    return df.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def _prefix_pairs(prefixes: DataFrame, roots: DataFrame, similarity: float, heads: bool) -> DataFrame:
+    """(a, b): the pairs of lines in different components that share a shingle of their prefixes and may reach the similarity; with ``heads`` only those with the shingle's smallest or largest line."""
+    rows = _placed(prefixes, roots)
+    side = lambda k, r, n, p: rows.select("token", F.col("id").alias(k), F.col("root").alias(r), F.col("n").alias(n), F.col("left").alias(p))
+    one, two = side("a", "ra", "n", "p"), side("b", "rb", "m", "q")
+    if heads:
+        ends = two.groupBy("token").agg(F.min(F.struct("b", "rb", "m", "q")).alias("lo"), F.max(F.struct("b", "rb", "m", "q")).alias("hi"))
+        two = ends.select("token", F.explode(F.array("lo", "hi")).alias("h")).select("token", "h.*")
+    # what lies behind the first shared shingle must hold the whole intersection
     need = similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9
-    one = left.select("token", F.col("id").alias("a"), F.col("root").alias("ra"), "n", F.col("left").alias("p"))
-    two = left.select("token", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("m"), F.col("left").alias("q"))
-    return one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.col("p") >= need) & (F.col("q") >= need)).select("a", "b").distinct()
+    far = (F.col("ra") != F.col("rb")) & (F.col("p") >= need) & (F.col("q") >= need)
+    if not heads:
+        far = far & (F.col("a") < F.col("b"))
+    return one.join(two, "token").where(far).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def line_components(docs: DataFrame, size: int = SHINGLE, k: int = SKETCH, run: int = RUN, similarity: float = SIMILARITY, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
@@ -160,25 +200,31 @@ def line_components(docs: DataFrame, size: int = SHINGLE, k: int = SKETCH, run:
     # the texts of the lines that met, from one more reading of the documents
     wanted = _few(materialize(met.select("id").distinct(), "lines-wanted"))
     texts = lines.select("id", "more", "line").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"), F.min("more").alias("lo"), F.max("more").alias("hi"))
-    texts = texts.where("lo = hi").select("id", "line", F.size(F.array_distinct(shingles(F.col("line"), size))).alias("n"))
-    texts = materialize(texts, "lines-texts")
-    first = met.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    links = materialize(_verified(first, texts, size, similarity), "lines-links")
-    roots = materialize(connected_components(links, "a", "b"), "lines-roots")
+    texts = materialize(texts.where("lo = hi").select("id", "line"), "lines-texts")
+    marks = materialize(_parities(texts, size), "lines-marks")
+
+    def linked(pairs: DataFrame, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """All links with those of ``pairs``, and the components."""
+        found = materialize(_verified(pairs, texts, marks, size, similarity), "lines-links")
+        links = found if links is None else links.union(found)
+        return links, materialize(connected_components(links, "a", "b"), "lines-roots")
+
+    links, roots = linked(met.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
     # open bands: lines of different components, of which the head has met all
-    placed = met.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    placed = materialize(placed, "lines-placed")
+    placed = materialize(_placed(met, roots), "lines-placed")
     parts = placed.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("inside"), F.count("*").alias("roots"))
     open_bands = parts.where("n > 2 and roots > 1").select("band", ((F.col("n") * F.col("n") - F.col("inside")) / 2 <= crowd).alias("small"))
     left = materialize(placed.join(open_bands, "band"), "lines-open")
-    one = left.where("small and id <> head").select("band", F.col("id").alias("a"), F.col("root").alias("ra"))
-    two = left.where("small and id <> head").select("band", F.col("id").alias("b"), F.col("root").alias("rb"))
-    pairs = one.join(two, "band").where("a < b and ra <> rb").select("a", "b").distinct()
-    many = left.where("not small").select("id", "root").distinct()
-    pairs = materialize(pairs.union(_prefix_pairs(many, texts, size, similarity)).distinct(), "lines-pairs")
-    found = materialize(_verified(pairs, texts, size, similarity), "lines-more")
-    if found.limit(1).count():
-        roots = materialize(connected_components(links.union(found), "a", "b"), "lines-roots")
+    if left.limit(1).count():
+        one = left.where("small and id <> head").select("band", F.col("id").alias("a"), F.col("root").alias("ra"))
+        two = left.where("small and id <> head").select("band", F.col("id").alias("b"), F.col("root").alias("rb"))
+        pairs = one.join(two, "band").where("a < b and ra <> rb").select("a", "b").distinct()
+        many = materialize(left.where("not small").select("id", "root").distinct(), "lines-crowd")
+        if many.limit(1).count():
+            prefixes = _prefixes(many, texts, marks, size, similarity)
+            links, roots = linked(pairs.union(_prefix_pairs(prefixes, roots, similarity, True)).distinct(), links)
+            pairs = _prefix_pairs(prefixes, roots, similarity, False)
+        links, roots = linked(pairs, links)
     return signed.drop("bands"), roots.select(F.col("node").alias("id"), "root")
 
 
