@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import deque
 from dataclasses import dataclass, replace
+from math import cbrt, inf
 
 import numpy as np
 
@@ -314,22 +315,52 @@ def kmeans(colors: np.ndarray, counts: np.ndarray, k: int, seed: int = 0, rounds
     return centres
 
 
+def _nearest_of(palette: np.ndarray, lab: np.ndarray, biased: bool):
+    """A function of plain numbers (r, g, b) that gives what ``palette_index`` gives, for one colour at a time."""
+    entries = [(*map(float, rgb), *map(float, c), not any(rgb)) for rgb, c in zip(palette.tolist(), lab.tolist(), strict=True)]
+    to_lms, to_lab = _TO_LMS.tolist(), _TO_LAB.tolist()
+
+    def linear(v: float) -> float:
+        v /= 255
+        return v / 12.92 if v <= 0.04045 else ((v + 0.055) / 1.055) ** 2.4
+
+    def nearest(r: float, g: float, b: float) -> int:
+        x = linear(r), linear(g), linear(b)
+        lms = [cbrt(m[0] * x[0] + m[1] * x[1] + m[2] * x[2]) for m in to_lms]
+        light, green, blue = (m[0] * lms[0] + m[1] * lms[1] + m[2] * lms[2] for m in to_lab)
+        best, least = 0, inf
+        for i, (pr, pg, pb, pl, pa, pq, black) in enumerate(entries):
+            d = (light - pl) ** 2 + (green - pa) ** 2 + (blue - pq) ** 2
+            if biased and light < 0.2:
+                if black:
+                    d -= ((0.2 - light) * 1.5) ** 2
+                if light < 0.1:
+                    d += (((r - pr) / 255) ** 2 + ((g - pg) / 255) ** 2 + ((b - pb) / 255) ** 2) * (0.5 - light)
+            if d < least:
+                best, least = i, d
+        return best
+
+    return nearest
+
+
 def floyd_steinberg(rgb: np.ndarray, alpha: np.ndarray, palette: np.ndarray, lab: np.ndarray, strength: float, biased: bool) -> np.ndarray:
     """Error diffusion in raster order; errors stay fractional, transparent pixels neither give nor take."""
-    out = rgb.astype(float).copy()
     h, w = alpha.shape
+    out, solid = rgb.astype(float).tolist(), (alpha != 0).tolist()
+    nearest, entries = _nearest_of(np.asarray(palette, float), lab, biased), np.asarray(palette, float).tolist()
     for y in range(h):
         for x in range(w):
-            if alpha[y, x] == 0:
+            if not solid[y][x]:
                 continue
-            best = palette[palette_index(out[y, x][None], palette, lab, biased)[0]]
-            error = (out[y, x] - best) * strength
-            out[y, x] = best
+            was = out[y][x]
+            best = entries[nearest(*was)]
+            error = [(p - q) * strength for p, q in zip(was, best, strict=True)]
+            out[y][x] = best
             for dx, dy, part in ((1, 0, 7), (-1, 1, 3), (0, 1, 5), (1, 1, 1)):
                 u, v = x + dx, y + dy
-                if 0 <= u < w and v < h and alpha[v, u]:
-                    out[v, u] = np.clip(out[v, u] + error * part / 16, 0, 255)
-    return out
+                if 0 <= u < w and v < h and solid[v][u]:
+                    out[v][u] = [min(255.0, max(0.0, p + e * part / 16)) for p, e in zip(out[v][u], error, strict=True)]
+    return np.array(out, float).reshape(rgb.shape)
 
 
 def apply_palette(rgb: np.ndarray, alpha: np.ndarray, palette: np.ndarray, lab: np.ndarray, mode: str, strength: float, biased: bool) -> np.ndarray:

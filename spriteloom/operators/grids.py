@@ -66,18 +66,13 @@ def reconstruction_errors(pixels: DataFrame, mask: DataFrame, out_sizes: list[tu
     base = P.frames(pixels).select("*", tried("iw", "ih").alias("__c")).select("image_id", "iw", "ih", "__c.*")
     grids = base.select("image_id", "outW", "outH", (F.col("iw") / F.col("outW")).alias("cellW"), (F.col("ih") / F.col("outH")).alias("cellH"), F.lit(0.0).alias("cropX"), F.lit(0.0).alias("cropY"))
 
-    def tagged(df: DataFrame) -> DataFrame:
-        """A candidate is an image of its own while it is sampled."""
-        return df.withColumn("image_id", F.struct("image_id", "outW", "outH"))
-
-    every = pixels.select("*", tried("w", "h").alias("__c")).select(*pixels.columns, "__c.*")
-    # many candidates make these joins far larger than their inputs: sorted, not broadcast
-    small = P.downsample(tagged(every).hint("merge"), tagged(grids), window)
+    # candidates multiply cells, not pixels: a cell's window is looked up by place
+    small = P.downsample(pixels, grids, window)
     on = pixels.join(mask.where("a >= 16").select("image_id", "y", "x"), ["image_id", "y", "x"], "left_semi").where((F.col("x") % stride == 0) & (F.col("y") % stride == 0))
     place = on.join(grids, "image_id").select("image_id", "outW", "outH", F.col("r").alias("r0"), F.col("g").alias("g0"), F.col("b").alias("b0"), F.least(F.col("outW") - 1, F.floor(F.col("x") / F.col("cellW"))).cast("int").alias("x"), F.least(F.col("outH") - 1, F.floor(F.col("y") / F.col("cellH"))).cast("int").alias("y"))
-    cell = small.select(F.col("image_id.image_id").alias("image_id"), F.col("image_id.outW").alias("outW"), F.col("image_id.outH").alias("outH"), "x", "y", "r", "g", "b")
+    cell = small.select("image_id", F.col("w").alias("outW"), F.col("h").alias("outH"), "x", "y", "r", "g", "b")
     gap = F.abs(F.col("r") - F.col("r0")) + F.abs(F.col("g") - F.col("g0")) + F.abs(F.col("b") - F.col("b0"))
-    return place.join(cell.hint("merge"), ["image_id", "outW", "outH", "x", "y"]).groupBy("image_id", "outW", "outH").agg(F.sum(gap).alias("err"), F.count("*").alias("n"))
+    return place.join(cell, ["image_id", "outW", "outH", "x", "y"]).groupBy("image_id", "outW", "outH").agg(F.sum(gap).alias("err"), F.count("*").alias("n"))
 
 
 def best_size(errors: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Operators on the ``pixels`` relation (image_id, w, h, y, x, r, g, b, a).
 
-Every shuffle is keyed by image (and place), never by colour alone, so images are
-the unit of distribution and a large one is still split by its rows' places.
+Every shuffle is keyed by image (and place), so images are the unit of distribution
+and a large one is still split by its rows' places.
 """
 
 from __future__ import annotations
@@ -16,19 +16,24 @@ CHANNELS = ("r", "g", "b", "a")
 
 
 def explode_images(images: DataFrame) -> DataFrame:
-    """Pixels of decoded ``images`` rows: the bytes are read in place, nothing is shuffled."""
-    at = F.posexplode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("__pos", "i")
-    flat = images.where("data is not null and width > 0 and height > 0").select("image_id", F.col("width").alias("w"), F.col("height").alias("h"), F.hex("data").alias("__hex"), at)
-    channel = [F.conv(F.substring(F.col("__hex"), F.col("i") * 8 + 2 * k + 1, F.lit(2)), 16, 10).cast("int").alias(c) for k, c in enumerate(CHANNELS)]
+    """Pixels of decoded ``images`` rows, cut from the bytes in one pass; nothing is shuffled."""
+    cells = F.regexp_extract_all(F.hex("data"), F.lit(".{8}"), F.lit(0))
+    flat = images.where("data is not null and width > 0 and height > 0").select("image_id", F.col("width").alias("w"), F.col("height").alias("h"), F.posexplode(cells).alias("i", "cell"))
+    channel = [F.conv(F.substring("cell", 2 * k + 1, 2), 16, 10).cast("int").alias(c) for k, c in enumerate(CHANNELS)]
     return flat.select("image_id", "w", "h", F.floor(F.col("i") / F.col("w")).cast("int").alias("y"), (F.col("i") % F.col("w")).cast("int").alias("x"), *channel)
 
 
 def assemble_images(pixels: DataFrame) -> DataFrame:
     """(image_id, width, height, data): places without a pixel are transparent black."""
     cell = F.concat(*[F.lpad(F.hex(F.col(c)), 2, "0") for c in CHANNELS])
-    filled = pixels.groupBy("image_id", "w", "h").agg(F.map_from_entries(F.collect_list(F.struct((F.col("y") * F.col("w") + F.col("x")).alias("i"), cell.alias("c")))).alias("m"))
-    every = F.transform(F.sequence(F.lit(0), F.col("w") * F.col("h") - 1), lambda i: F.coalesce(F.element_at("m", i), F.lit("00000000")))
-    return filled.select("image_id", F.col("w").alias("width"), F.col("h").alias("height"), F.unhex(F.array_join(every, "")).alias("data"))
+    sorted_cells = F.array_sort(F.collect_list(F.struct((F.col("y") * F.col("w") + F.col("x")).cast("int").alias("i"), cell.alias("c"))))
+    filled = pixels.groupBy("image_id", "w", "h").agg(sorted_cells.alias("m"))
+    empty = lambda n: F.repeat(F.lit("00000000"), n.cast("int"))
+    # what is missing before each pixel, and behind the last one
+    before = lambda k: F.when(k > 0, F.get("m", k - 1)["i"]).otherwise(F.lit(-1))
+    parts = F.transform("m", lambda p, k: F.concat(empty(p["i"] - before(k) - 1), p["c"]))
+    tail = empty(F.col("w") * F.col("h") - 1 - F.element_at("m", -1)["i"])
+    return filled.select("image_id", F.col("w").alias("width"), F.col("h").alias("height"), F.unhex(F.concat(F.array_join(parts, ""), tail)).alias("data"))
 
 
 def posterize_pixels(pixels: DataFrame, step: int) -> DataFrame:
@@ -139,10 +144,16 @@ def downsample(pixels: DataFrame, grids: DataFrame, window: int = 3) -> DataFram
 
     wanted = grid.withColumn("x", F.explode(window_of(centre("cropX", "i", "cellW"), "iw"))).withColumn("y", F.explode(window_of(centre("cropY", "j", "cellH"), "ih")))
     joined = wanted.select("image_id", "ow", "oh", "i", "j", "y", "x").join(pixels.select("image_id", "y", "x", *CHANNELS), ["image_id", "y", "x"])
-    solid = [F.percentile(F.when(F.col("a") >= 16, F.col(c)), 0.5).alias(f"__{c}") for c in CHANNELS]
-    every = [F.percentile(F.col(c), 0.5).alias(f"__all_{c}") for c in CHANNELS]
-    medians = joined.groupBy("image_id", "ow", "oh", "j", "i").agg(*solid, *every)
-    return medians.select("image_id", F.col("ow").alias("w"), F.col("oh").alias("h"), F.col("j").alias("y"), F.col("i").alias("x"), *[to_byte(F.coalesce(F.col(f"__{c}"), F.col(f"__all_{c}"))).alias(c) for c in CHANNELS])
+    found = joined.groupBy("image_id", "ow", "oh", "j", "i").agg(F.collect_list(F.struct(*CHANNELS)).alias("all"))
+    solid = found.withColumn("solid", F.filter("all", lambda p: p["a"] >= 16))
+    used = solid.withColumn("used", F.when(F.size("solid") > 0, F.col("solid")).otherwise(F.col("all"))).withColumn("n", F.size("used"))
+
+    def middle(c: str) -> Column:
+        """The median of a channel over the window, which holds a few pixels."""
+        values = F.transform(F.array(F.array_sort(F.transform("used", lambda p: p[c]))), lambda s: (F.get(s, F.floor((F.col("n") - 1) / 2).cast("int")) + F.get(s, F.floor(F.col("n") / 2).cast("int"))) / 2)
+        return to_byte(F.element_at(values, 1)).alias(c)
+
+    return used.select("image_id", F.col("ow").alias("w"), F.col("oh").alias("h"), F.col("j").alias("y"), F.col("i").alias("x"), *map(middle, CHANNELS))
 
 
 def outline(pixels: DataFrame, color: tuple[int, int, int], style: str) -> DataFrame:

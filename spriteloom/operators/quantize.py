@@ -1,8 +1,7 @@
 """Nearest palette colours and ordered dithering.
 
-Distinct colours meet the palette once: its entries are an array of constants, so the
-best one is an expression per colour without a join, and pixels are joined back on
-their colour.
+The palette's entries are constants, so the best one is an expression on a row:
+pixels are mapped where they are read, without a join or a shuffle.
 """
 
 from __future__ import annotations
@@ -24,11 +23,22 @@ def palette_entries(found: list[tuple[int, int, int]]) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip((i, *rgb, *lab), ("idx", "pr", "pg", "pb", "L", "a", "b"), strict=True)]) for i, rgb, lab in rows])
 
 
-def nearest_entry(distinct: DataFrame, found: list[tuple[int, int, int]], biased: bool = True) -> DataFrame:
-    """``distinct`` (any columns, with r, g, b) with the index and colour of the first palette entry at the least distance."""
-    keys = distinct.columns
+#: Up to this size a palette is written out in the generated code; larger ones are an array that is walked.
+WRITTEN_OUT = 32
+
+
+def nearest_entry(rows: DataFrame, found: list[tuple[int, int, int]], biased: bool = True) -> DataFrame:
+    """``rows`` (any columns, with r, g, b) with the index and colour of the first palette entry at the least distance."""
+    keys = rows.columns
     mine = ("__L", "__a", "__b")
-    lab = distinct.select("*", *[c.alias(n) for c, n in zip(oklab("r", "g", "b"), mine, strict=True)])
+    lab = rows.select("*", *[c.alias(n) for c, n in zip(oklab("r", "g", "b"), mine, strict=True)])
+    if 1 < len(found) <= WRITTEN_OUT:
+        theirs = [tuple(map(F.lit, v)) for v in K.oklab(np.array(found)).tolist()]
+        far = [palette_distance(mine, t, ("r", "g", "b"), tuple(map(F.lit, rgb)), biased) for t, rgb in zip(theirs, found, strict=True)]
+        # the least struct is the least distance, and the first entry among equals
+        best = lab.withColumn("__best", F.least(*[F.struct(d.alias("d"), F.lit(i).alias("idx")) for i, d in enumerate(far)])).withColumn("__i", F.col("__best.idx"))
+        table = [F.array(*[F.lit(c[k]) for c in found]) for k in range(3)]
+        return best.select(*keys, F.col("__i").alias("idx"), *[F.element_at(t, F.col("__i") + 1).alias(n) for t, n in zip(table, ("pr", "pg", "pb"), strict=True)])
     scored = F.transform(palette_entries(found), lambda e: F.struct(palette_distance(mine, (e["L"], e["a"], e["b"]), ("r", "g", "b"), (e["pr"], e["pg"], e["pb"]), biased).alias("d"), e["idx"].alias("idx"), e["pr"].alias("pr"), e["pg"].alias("pg"), e["pb"].alias("pb")))
     best = lab.withColumn("__best", F.array_min(scored))
     return best.select(*keys, F.col("__best.idx").alias("idx"), *[F.col(f"__best.{c}").alias(c) for c in ("pr", "pg", "pb")])
@@ -45,26 +55,18 @@ def nearest_rgb(distinct: DataFrame, found: list[tuple[int, int, int]]) -> DataF
 
 def map_to_palette(pixels: DataFrame, found: list[tuple[int, int, int]], biased: bool = True) -> DataFrame:
     """Pixels with their visible colours replaced by the nearest of the palette."""
-    best = nearest_entry(pixels.where("a > 0").select("r", "g", "b").distinct(), found, biased)
-    joined = pixels.join(best, ["r", "g", "b"], "left")
-    return joined.select("image_id", "w", "h", "y", "x", *[F.when(F.col("a") > 0, F.col(f"p{c}")).otherwise(F.col(c)).alias(c) for c in "rgb"], "a")
+    best = nearest_entry(pixels, found, biased)
+    return best.select("image_id", "w", "h", "y", "x", *[F.when(F.col("a") > 0, F.col(f"p{c}")).otherwise(F.col(c)).alias(c) for c in "rgb"], "a")
 
 
 def ordered_dither(pixels: DataFrame, found: list[tuple[int, int, int]], mode: str, strength: float = 1.0, biased: bool = True) -> DataFrame:
-    """(image_id, y, x, idx, pr, pg, pb) of visible pixels: a threshold by place is added, then the nearest entry is taken.
-
-    A colour and a place in the matrix decide the result, so each such pair is
-    looked up once.
-    """
+    """(image_id, y, x, idx, pr, pg, pb) of visible pixels: a threshold by place is added, then the nearest entry is taken."""
     matrix = dither_matrix(mode)
     n = int(len(matrix) ** 0.5)
     cell = ((F.col("y") % n) * n + F.col("x") % n + 1).cast("int")
-    solid = pixels.where("a > 0").select("image_id", "y", "x", F.col("r").alias("r0"), F.col("g").alias("g0"), F.col("b").alias("b0"), cell.alias("cell"))
-    bias = (F.element_at(F.array(*[F.lit(v) for v in matrix]), F.col("cell")) - 0.5) * (strength * 255)
-    shown = solid.select("r0", "g0", "b0", "cell").distinct()
-    shown = shown.select("*", *[F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col(f"{c}0") + bias)).alias(c) for c in "rgb"])
-    best = nearest_entry(shown, found, biased).drop("r", "g", "b")
-    return solid.join(best, ["r0", "g0", "b0", "cell"]).select("image_id", "y", "x", "idx", "pr", "pg", "pb")
+    bias = (F.element_at(F.array(*[F.lit(v) for v in matrix]), cell) - 0.5) * (strength * 255)
+    shown = pixels.where("a > 0").select("image_id", "y", "x", *[F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col(c) + bias)).alias(c) for c in "rgb"])
+    return nearest_entry(shown, found, biased).select("image_id", "y", "x", "idx", "pr", "pg", "pb")
 
 
 def built_in(name: str) -> list[tuple[int, int, int]]:
