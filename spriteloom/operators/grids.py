@@ -43,9 +43,21 @@ def lattice_scores(edges: DataFrame, lengths: DataFrame, least: int = 8, most: i
 
 def best_lattice(scores: DataFrame, least: int = 8, most: int = 128) -> DataFrame:
     """(image_id, size, offset, score): the lowest score, the first candidate among equals."""
+    return scored(scores, least, most).groupBy("image_id").agg(F.min_by(F.struct("size", "offset", "score"), F.struct("score", "place")).alias("best")).select("image_id", "best.*")
+
+
+def scored(scores: DataFrame, least: int = 8, most: int = 128) -> DataFrame:
+    """``lattice_scores`` with their score: p50 + 0.35 p90, penalties for too few or many cells, less a bonus for lengths seen often."""
     penalty = 5 * F.greatest(F.lit(0), F.lit(least) - F.col("cells")) + 5 * F.greatest(F.lit(0), F.col("cells") - most)
-    score = F.col("p50") + 0.35 * F.col("p90") + penalty - 0.25 * F.log1p(F.col("n_len").cast("double"))
-    return scores.withColumn("score", score).groupBy("image_id").agg(F.min_by(F.struct("size", "offset", "score"), F.struct("score", "place")).alias("best")).select("image_id", "best.*")
+    return scores.withColumn("score", F.col("p50") + 0.35 * F.col("p90") + penalty - 0.25 * F.log1p(F.col("n_len").cast("double")))
+
+
+def largest_lattice(scores: DataFrame, slack: float = 0.35) -> DataFrame:
+    """(image_id, size, offset, score): going through an image's candidates in order, one is taken over if it is better by more than ``slack``, or within it and larger."""
+    rows = scored(scores).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("place", "size", "offset", "score"))).alias("all"))
+    better = lambda new, old: (new["score"] < old["score"] - slack) | ((F.abs(new["score"] - old["score"]) <= slack) & (new["size"] > old["size"]))
+    best = F.aggregate(F.slice("all", F.lit(2), F.size("all")), F.get("all", F.lit(0)), lambda old, new: F.when(better(new, old), new).otherwise(old))
+    return rows.select("image_id", best.alias("best")).select("image_id", "best.size", "best.offset", "best.score")
 
 
 def all_sizes(w: str, h: str) -> Column:

@@ -118,6 +118,14 @@ def resize_nearest(pixels: DataFrame, out_w: int, out_h: int, box: tuple[float,
     return _picked(pixels, grid.withColumn("x", place(x, w, "i", out_w, "iw")).withColumn("y", place(y, h, "j", out_h, "ih")), "inner")
 
 
+def thumbnail(pixels: DataFrame, most: int = 80) -> DataFrame:
+    """Images larger than ``most`` in width or height scaled down to fit, each output pixel the one under its centre; others stay as they are."""
+    ratio = F.when((F.col("iw") > most) | (F.col("ih") > most), F.least(F.lit(most) / F.col("iw"), F.lit(most) / F.col("ih"))).otherwise(F.lit(1.0))
+    grid = cells(frames(pixels), F.floor(F.col("iw") * ratio), F.floor(F.col("ih") * ratio))
+    at = lambda k, size, n: F.floor((F.col(k) + 0.5) * F.col(size) / F.col(n)).cast("int")
+    return _picked(pixels, grid.where("ow > 0 and oh > 0").withColumn("x", at("i", "iw", "ow")).withColumn("y", at("j", "ih", "oh")), "inner")
+
+
 def sample_points(pixels: DataFrame, grids: DataFrame) -> DataFrame:
     """One pixel per cell of ``grids`` (image_id, cellW, cellH, cropX, cropY, outW, outH); transparent outside the image."""
     grid = cells(grids, F.col("outW"), F.col("outH"))

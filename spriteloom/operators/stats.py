@@ -73,3 +73,8 @@ def dense_lines(pixels: DataFrame, axis: str, count: int = 12) -> DataFrame:
 def by_luminance(colors: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """``colors`` with a rank, brightest first, equals in ``order``."""
     return colors.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(luminance()), *order)))
+
+
+def pixels_of_percent(percent: Column, total: Column) -> Column:
+    """How many of ``total`` pixels a percentage is: at least one and at most all, none from 0 downwards."""
+    return F.when(percent <= 0, F.lit(0).cast("long")).otherwise(F.least(total.cast("long"), F.greatest(F.lit(1).cast("long"), F.ceil(percent / 100 * total).cast("long"))))

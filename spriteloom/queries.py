@@ -25,7 +25,7 @@ from .options import PipelineOptions
 from .palettes import BUILT_IN, colors, dither_matrix, median_cut, palette_table
 from .plans.pipeline import process_images
 from .sources import gpl
-from .sources.images import unique_names
+from .sources.images import decode_files, encode_pngs, unique_names
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,12 +95,12 @@ def pixel_lookup_clamped(spark, sf_dir):
     return P.lookup_clamped(px, P.frames(px).select("image_id", at.alias("q")).select("image_id", "q.*"))
 
 
-@query(PX + "SELECT image_id, w, h, y, x, CASE WHEN x = 5 AND y = 7 THEN 1 ELSE r END AS r, CASE WHEN x = 5 AND y = 7 THEN 2 ELSE g END AS g, CASE WHEN x = 5 AND y = 7 THEN 3 ELSE b END AS b, CASE WHEN x = 5 AND y = 7 THEN 4 ELSE a END AS a FROM px WHERE y BETWEEN 6 AND 8")
+@query(PX + "SELECT image_id, w, h, y, x, CASE WHEN x = 5 AND y = 7 THEN 1 ELSE r END AS r, CASE WHEN x = 5 AND y = 7 THEN 2 ELSE g END AS g, CASE WHEN x = 5 AND y = 7 THEN 3 ELSE b END AS b, CASE WHEN x = 5 AND y = 7 THEN 4 ELSE a END AS a FROM px")
 def pixel_overwrite(spark, sf_dir):
     px = pixels(spark, sf_dir)
     new = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for x, y in ((5, 7), (-1, 7), (5, 4000))]))
     changes = P.frames(px).select("image_id", new.alias("n")).select("image_id", "n.*", *[F.lit(v).alias(c) for c, v in zip("rgba", (1, 2, 3, 4), strict=True)])
-    return P.overwrite(px, changes).where("y between 6 and 8")
+    return P.overwrite(px, changes)
 
 
 @query(PX + "SELECT image_id, 'y' AS axis, x AS place, r, g, b, a FROM px WHERE y = 11 UNION ALL SELECT image_id, 'x', y, r, g, b, a FROM px WHERE x = w - 1")
@@ -204,6 +204,35 @@ def resize_nearest(spark, sf_dir):
     return P.resize_nearest(pixels(spark, sf_dir), 40, 25)
 
 
+@query(PX + ", f AS (SELECT DISTINCT image_id, w, h FROM px), o AS (SELECT image_id, i, j, least(w - 1, greatest(0, floor(5.5 + (i + 0.5) * (30.0 / 9) - 0.5 + 0.5))) AS sx, least(h - 1, greatest(0, floor(3.25 + (j + 0.5) * (60.0 / 7) - 0.5 + 0.5))) AS sy FROM f, range(9) a(i), range(7) b(j)) SELECT o.image_id, CAST(9 AS INT) AS w, CAST(7 AS INT) AS h, CAST(j AS INT) AS y, CAST(i AS INT) AS x, r, g, b, a FROM o JOIN px ON px.image_id = o.image_id AND px.x = sx AND px.y = sy")
+def resize_crop(spark, sf_dir):
+    return P.resize_nearest(pixels(spark, sf_dir), 9, 7, (5.5, 3.25, 30, 60))
+
+
+@query(PX + ", f AS (SELECT DISTINCT image_id, w, h, CASE WHEN w > 50 OR h > 50 THEN least(50 / CAST(w AS DOUBLE), 50 / CAST(h AS DOUBLE)) ELSE 1 END AS k FROM px), g AS (SELECT *, CAST(floor(w * k) AS INT) AS ow, CAST(floor(h * k) AS INT) AS oh FROM f), o AS (SELECT image_id, ow, oh, i, j, CAST(floor((i + 0.5) * w / ow) AS INT) AS sx, CAST(floor((j + 0.5) * h / oh) AS INT) AS sy FROM g, range(50) a(i), range(50) b(j) WHERE i < ow AND j < oh) SELECT o.image_id, ow AS w, oh AS h, CAST(j AS INT) AS y, CAST(i AS INT) AS x, r, g, b, a FROM o JOIN px ON px.image_id = o.image_id AND px.x = sx AND px.y = sy")
+def thumbnail_fit(spark, sf_dir):
+    return P.thumbnail(pixels(spark, sf_dir), 50)
+
+
+@query(PX + "SELECT * FROM tx")
+def raster_round_trip(spark, sf_dir):
+    return P.explode_images(P.assemble_images(translucent(spark, sf_dir)))
+
+
+@query(PX + "SELECT * FROM tx")
+def png_round_trip(spark, sf_dir):
+    files = encode_pngs(I.pack_images(translucent(spark, sf_dir)).withColumn("path", F.col("image_id").cast("string")))
+    back = decode_files(files).withColumn("image_id", F.col("path").cast("long"))
+    return I.unpack_images(back)
+
+
+@query("SELECT s_suppkey AS image_id, percent, CAST(CASE WHEN percent <= 0 THEN 0 ELSE least(total, greatest(1, CAST(ceil(percent / 100.0 * total) AS BIGINT))) END AS BIGINT) AS most FROM (SELECT s_suppkey, CAST(power(12 * (4 + s_suppkey % 3), 2) AS BIGINT) AS total, CAST(unnest([-1, 0, 0.001, 1.5, 12.5, 250]) AS DOUBLE) AS percent FROM supplier)")
+def percent_of_pixels(spark, sf_dir):
+    share = F.explode(F.array(*[F.lit(float(p)) for p in (-1, 0, 0.001, 1.5, 12.5, 250)])).alias("percent")
+    rows = P.frames(pixels(spark, sf_dir)).select("image_id", (F.col("iw") * F.col("ih")).cast("long").alias("total"), share)
+    return rows.select("image_id", "percent", S.pixels_of_percent(F.col("percent"), F.col("total")).alias("most"))
+
+
 def _cell_grids(px: DataFrame, cell: str, crop_at: float = 0.0, n: str = "12") -> DataFrame:
     return P.frames(px).select("image_id", F.expr(cell).cast("double").alias("cellW"), F.expr(cell).cast("double").alias("cellH"), F.lit(crop_at).alias("cropX"), F.lit(crop_at).alias("cropY"), F.expr(n).cast("int").alias("outW"), F.expr(n).cast("int").alias("outH"))
 
@@ -319,9 +348,9 @@ def dense_lines(spark, sf_dir):
     return S.dense_lines(S.mask_colors(det, dominant), "y", 12)
 
 
-@query(PX + "SELECT image_id, CAST(coalesce(quantile_cont(r, 0.5), 0) AS DOUBLE) AS med, CAST(coalesce(quantile_cont(CASE WHEN r > 255 THEN r END, 0.5), 0) AS DOUBLE) AS med_none FROM px WHERE x % 2 = 0 GROUP BY image_id")
+@query(PX + "SELECT image_id, CAST(coalesce(quantile_cont(r, 0.5), 0) AS DOUBLE) AS med, CAST(coalesce(quantile_cont(CASE WHEN r > 255 THEN r END, 0.5), 0) AS DOUBLE) AS med_none FROM px GROUP BY image_id")
 def median_stat(spark, sf_dir):
-    return pixels(spark, sf_dir).where("x % 2 = 0").groupBy("image_id").agg(S.median("r").alias("med"), S.median(F.when(F.col("r") > 255, F.col("r"))).alias("med_none"))
+    return pixels(spark, sf_dir).groupBy("image_id").agg(S.median("r").alias("med"), S.median(F.when(F.col("r") > 255, F.col("r"))).alias("med_none"))
 
 
 @query(PX + "SELECT image_id, round(quantile_cont(r, 0.9), 6) AS p90, round(quantile_cont(r, 0.25), 6) AS p25, CAST(max(r) AS DOUBLE) AS p_over FROM px GROUP BY image_id")
@@ -383,16 +412,21 @@ def fg_bg_boundaries(spark, sf_dir):
 # ---- grids ----------------------------------------------------------------------
 
 
-@query(PX + DOMINANT + BOUNDS + """, seen AS (SELECT image_id, length AS size, CAST(length AS BIGINT) AS place FROM bound WHERE length BETWEEN 2 AND 256),
+LATTICE = """, seen AS (SELECT image_id, length AS size, CAST(length AS BIGINT) AS place FROM bound WHERE length BETWEEN 2 AND 256),
 ext AS (SELECT DISTINCT image_id, extent FROM bound),
 cand AS (SELECT image_id, size, min(place) AS place FROM (SELECT * FROM seen UNION ALL SELECT image_id, CAST(floor(extent / CAST(cells AS DOUBLE) + 0.5) AS INT) + CASE k WHEN 0 THEN 0 WHEN 1 THEN -1 ELSE 1 END, 1000 + cells * 3 + k FROM ext, range(8, 129) t(cells), range(3) u(k)) WHERE size BETWEEN 2 AND 256 GROUP BY image_id, size),
 edges AS (SELECT image_id, start AS pos FROM bound WHERE start > 0),
 far AS (SELECT c.image_id, c.size, c.place, o.offs, least(((pos - offs) % size + size) % size, size - ((pos - offs) % size + size) % size) AS d FROM cand c JOIN range(256) o(offs) ON offs < c.size JOIN edges e ON e.image_id = c.image_id),
 fit AS (SELECT image_id, size, place, offs, quantile_cont(d, 0.5) AS p50, quantile_cont(d, 0.9) AS p90 FROM far GROUP BY image_id, size, place, offs),
 best AS (SELECT *, row_number() OVER (PARTITION BY image_id, size ORDER BY p50, offs) AS rk FROM fit),
-nl AS (SELECT image_id, length AS size, count(*) AS n FROM bound WHERE length >= 2 GROUP BY image_id, length)
-SELECT best.image_id, CAST(best.size AS INT) AS size, CAST(offs AS INT) AS "offset", CAST(floor(p50 * 1000 + 0.5) AS BIGINT) AS p50, CAST(floor(p90 * 1000 + 0.5) AS BIGINT) AS p90, CAST((extent - offs) // best.size AS INT) AS cells, CAST(coalesce(n, 0) AS BIGINT) AS n_len, CAST(place AS BIGINT) AS place
-FROM best JOIN ext ON ext.image_id = best.image_id LEFT JOIN nl ON nl.image_id = best.image_id AND nl.size = best.size WHERE rk = 1 AND (extent - offs) // best.size > 0""")
+nl AS (SELECT image_id, length AS size, count(*) AS n FROM bound WHERE length >= 2 GROUP BY image_id, length),
+lat AS (SELECT best.image_id, CAST(best.size AS INT) AS size, CAST(offs AS INT) AS offs, p50, p90, CAST((extent - offs) // best.size AS INT) AS cells, CAST(coalesce(n, 0) AS BIGINT) AS n_len, CAST(place AS BIGINT) AS place
+FROM best JOIN ext ON ext.image_id = best.image_id LEFT JOIN nl ON nl.image_id = best.image_id AND nl.size = best.size WHERE rk = 1 AND (extent - offs) // best.size > 0),
+sc AS (SELECT *, p50 + 0.35 * p90 + (5 * greatest(0, 8 - cells) + 5 * greatest(0, cells - 128)) - 0.25 * ln(1 + CAST(n_len AS DOUBLE)) AS score FROM lat)
+"""
+
+
+@query(PX + DOMINANT + BOUNDS + LATTICE + """SELECT image_id, size, offs AS "offset", CAST(floor(p50 * 1000 + 0.5) AS BIGINT) AS p50, CAST(floor(p90 * 1000 + 0.5) AS BIGINT) AS p90, cells, n_len, place FROM lat""")
 def lattice_score(spark, sf_dir):
     scored = G.lattice_scores(*_edges(spark, sf_dir))
     milli = lambda c: F.floor(F.col(c) * 1000 + 0.5).alias(c)
@@ -406,9 +440,25 @@ def _edges(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return found.where("start > 0").select("image_id", F.col("start").alias("at")), found.join(extent, "image_id").select("image_id", "length", "extent")
 
 
-@query()
+MILLI = """CAST(floor(score * 1000 + 0.5) AS BIGINT) AS score"""
+
+
+def _milli_score(found: DataFrame) -> DataFrame:
+    return found.select("image_id", "size", "offset", F.floor(F.col("score") * 1000 + 0.5).alias("score"))
+
+
+@query(PX + DOMINANT + BOUNDS + LATTICE + f"""SELECT image_id, size, offs AS "offset", {MILLI} FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score, place) AS nr FROM sc) WHERE nr = 1""")
 def lattice_best(spark, sf_dir):
-    return G.best_lattice(G.lattice_scores(*_edges(spark, sf_dir)))
+    return _milli_score(G.best_lattice(G.lattice_scores(*_edges(spark, sf_dir))))
+
+
+@query(PX + DOMINANT + BOUNDS + LATTICE + f""", line AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY place) AS nr FROM sc),
+pick(image_id, nr, size, offs, score) AS (SELECT image_id, nr, size, offs, score FROM line WHERE nr = 1 UNION ALL
+ SELECT n.image_id, n.nr, CASE WHEN won THEN n.size ELSE n.old_size END, CASE WHEN won THEN n.offs ELSE n.old_offs END, CASE WHEN won THEN n.score ELSE n.old_score END FROM
+ (SELECT l.*, p.size AS old_size, p.offs AS old_offs, p.score AS old_score, l.score < p.score - 0.35 OR (abs(l.score - p.score) <= 0.35 AND l.size > p.size) AS won FROM pick p JOIN line l ON l.image_id = p.image_id AND l.nr = p.nr + 1) n)
+SELECT image_id, size, offs AS "offset", {MILLI} FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY nr DESC) AS k FROM pick) WHERE k = 1""")
+def lattice_largest(spark, sf_dir):
+    return _milli_score(G.largest_lattice(G.lattice_scores(*_edges(spark, sf_dir))))
 
 
 SIZES = [(10, 10), (12, 12), (15, 15)]
@@ -427,12 +477,46 @@ def grid_search_error(spark, sf_dir):
     return G.reconstruction_errors(px, px.where("r < 230"), SIZES)
 
 
-@query()
+#: The best size over all that the full search tries.
+SEARCH = (
+    PX.replace("px AS (", "px AS MATERIALIZED (") + ", f AS (SELECT DISTINCT image_id, w, h FROM px), f1 AS (SELECT *, greatest(2, h // 32) AS lo FROM f), f2 AS (SELECT *, unnest(range(lo, least(128, greatest(lo, h // 4)) + 1)) AS oh FROM f1), "
+    "f3 AS (SELECT *, greatest(2, CAST(floor(oh * (w / CAST(h AS DOUBLE)) + 0.5) AS BIGINT)) AS ow FROM f2), c AS MATERIALIZED (SELECT image_id, w, h, ow, oh, w / CAST(ow AS DOUBLE) AS cw, h / CAST(oh AS DOUBLE) AS ch, w % ow = 0 AND h % oh = 0 AS whole FROM f3 WHERE ow <= 256 AND oh <= 256 AND w > ow AND h > oh), "
+    "o0 AS (SELECT *, unnest(range(ow)) AS i FROM c), o1 AS (SELECT *, unnest(range(oh)) AS j FROM o0), "
+    "o AS (SELECT image_id, w, h, ow, oh, i, j, CASE WHEN whole THEN i * (w // ow) + (w // ow) // 2 ELSE CAST(floor((i + 0.5) * cw + 0.5) AS INT) END AS cx, CASE WHEN whole THEN j * (h // oh) + (h // oh) // 2 ELSE CAST(floor((j + 0.5) * ch + 0.5) AS INT) END AS cy FROM o1), "
+    "v AS MATERIALIZED (SELECT o.image_id, ow, oh, i, j, t.r, t.g, t.b, t.a FROM o, range(-1, 2) p(dx), range(-1, 2) q(dy), px t WHERE t.image_id = o.image_id AND t.x = cx + dx AND t.y = cy + dy), "
+    "m AS MATERIALIZED (SELECT image_id, ow, oh, i, j, " + ", ".join(f"coalesce(quantile_cont(CASE WHEN a >= 16 THEN {c} END, 0.5), quantile_cont({c}, 0.5)) AS m{c}" for c in "rgb") + " FROM v GROUP BY image_id, ow, oh, i, j), "
+    "z AS MATERIALIZED (SELECT image_id, ow, oh, i, j, " + ", ".join(f"CASE WHEN m{c} - floor(m{c}) = 0.5 THEN 2 * floor((m{c} + 1) / 2) ELSE floor(m{c} + 0.5) END AS {c}" for c in "rgb") + " FROM m), "
+    "e AS (SELECT p.image_id, c.ow, c.oh, sum(abs(p.r - z.r) + abs(p.g - z.g) + abs(p.b - z.b)) / count(*) + 0.0025 * (c.ow * c.oh) AS score FROM px p JOIN c ON c.image_id = p.image_id JOIN z ON z.image_id = p.image_id AND z.ow = c.ow AND z.oh = c.oh AND z.i = least(c.ow - 1, floor(p.x / c.cw)) AND z.j = least(c.oh - 1, floor(p.y / c.ch)) WHERE p.r < 230 AND p.a >= 16 GROUP BY p.image_id, c.ow, c.oh) "
+    "SELECT image_id, CAST(ow AS INT) AS \"outW\", CAST(oh AS INT) AS \"outH\" FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score, oh) AS nr FROM e) WHERE nr = 1"
+)
+
+
+@query(SEARCH)
 def grid_search_best(spark, sf_dir):
     px = pixels(spark, sf_dir)
     return G.best_size(G.reconstruction_errors(px, px.where("r < 230"), None))
 
 
+def _kernel_search(spark, sf_dir, fast: bool) -> DataFrame:
+    def found(image):
+        mask = image.copy()
+        mask[image[..., 0] >= 230, 3] = 0
+        g = K.search_grid(image, mask, 3, fast)
+        return [(g.out_w, g.out_h)] if g else []
+
+    return I.summary(pixels(spark, sf_dir), found, "outW int, outH int")
+
+
+@query(SEARCH)
+def grid_search_exhaustive(spark, sf_dir):
+    return _kernel_search(spark, sf_dir, False)
+
+
+@query(SEARCH)  # images of at most 160 pixels are searched at every size and pixel either way
+def grid_search_fast(spark, sf_dir):
+    return _kernel_search(spark, sf_dir, True)
+
+
 # ---- palettes and dithering -------------------------------------------------------
 
 
@@ -462,6 +546,11 @@ for _name in ("gb_pocket", "nes", "pico8", "mono"):
     _nearest_query(_name)
 
 
+@query(PX + f", d AS (SELECT DISTINCT r, g, b FROM px WHERE a > 0), pal AS (SELECT * FROM {LAB.format(t='(SELECT * FROM ' + _palette_values('pico8') + ')')}), mine AS (SELECT * FROM {LAB.format(t='d')}), dist AS (SELECT mine.r, mine.g, mine.b, pal.idx, pal.r AS pr, pal.g AS pg, pal.b AS pb, pow(mine.lab_l - pal.lab_l, 2) + pow(mine.lab_a - pal.lab_a, 2) + pow(mine.lab_b - pal.lab_b, 2) AS d FROM mine, pal) SELECT r, g, b, {_ints('pr', 'pg', 'pb')} FROM (SELECT *, row_number() OVER (PARTITION BY r, g, b ORDER BY d, idx) AS rk FROM dist) WHERE rk = 1")
+def nearest_unbiased(spark, sf_dir):
+    return Q.nearest_entry(pixels(spark, sf_dir).where("a > 0").select("r", "g", "b").distinct(), Q.built_in("pico8"), biased=False).drop("idx")
+
+
 @query(PX + ", d AS (SELECT DISTINCT r, g, b FROM px), e AS (SELECT d.*, idx, v.r AS nr, v.g AS ng, v.b AS nb, (d.r - v.r) * (d.r - v.r) + (d.g - v.g) * (d.g - v.g) + (d.b - v.b) * (d.b - v.b) AS dist FROM d, " + _palette_values("arne16") + f") SELECT r, g, b, {_ints('nr', 'ng', 'nb')} FROM (SELECT *, row_number() OVER (PARTITION BY r, g, b ORDER BY dist, idx) AS rk FROM e) WHERE rk = 1")
 def nearest_rgb(spark, sf_dir):
     return Q.nearest_rgb(pixels(spark, sf_dir).select("r", "g", "b").distinct(), Q.built_in("arne16"))
@@ -527,7 +616,16 @@ def flood_fill_corner(spark, sf_dir):
     return filled.where((F.col("a") == 0) & ~was_clear).select("image_id", "y", "x")
 
 
-@query()
+PARTS = """, m AS (SELECT image_id, w, y, x FROM px WHERE a >= 16 AND r < 230),
+starts AS (SELECT image_id, y * w + x AS start, y, x FROM m WHERE NOT EXISTS (SELECT 1 FROM m n WHERE n.image_id = m.image_id AND ((n.x = m.x - 1 AND n.y = m.y) OR (n.x = m.x AND n.y = m.y - 1)))),
+reach(image_id, start, y, x) AS (SELECT * FROM starts UNION SELECT n.image_id, reach.start, n.y, n.x FROM reach JOIN m n ON n.image_id = reach.image_id AND ((n.x = reach.x AND (n.y = reach.y + 1 OR n.y = reach.y - 1)) OR (n.y = reach.y AND (n.x = reach.x + 1 OR n.x = reach.x - 1)))),
+first AS (SELECT image_id, y, x, min(start) AS part FROM reach GROUP BY image_id, y, x),
+sizes AS (SELECT image_id, part, count(*) AS n FROM first GROUP BY image_id, part),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, part) AS nr FROM sizes)
+"""
+
+
+@query(PX + PARTS + "SELECT image_id, CAST(count(*) AS BIGINT) AS n_components, CAST(count(CASE WHEN n <= 50 AND nr > 1 THEN 1 END) AS BIGINT) AS n_removed, CAST(coalesce(sum(CASE WHEN n <= 50 AND nr > 1 THEN n END), 0) AS BIGINT) AS removed_pixels FROM ranked GROUP BY image_id")
 def components_largest_kept(spark, sf_dir):
     def sizes(image):
         found = K.labels((image[..., 3] >= 16) & (image[..., 0] < 230))
@@ -537,7 +635,8 @@ def components_largest_kept(spark, sf_dir):
     return I.summary(pixels(spark, sf_dir), sizes, "n_components long, n_removed long, removed_pixels long")
 
 
-@query()
+#: All pixels near the colour are within the tolerance of each other here, so each is cleared by its own fill.
+@query(PX + "SELECT image_id, CAST(count(CASE WHEN a = 0 OR (abs(r - 238) <= 8 AND abs(g - 238) <= 8 AND abs(b - 238) <= 8) THEN 1 END) AS BIGINT) AS n_clear FROM px GROUP BY image_id")
 def rgb_fill(spark, sf_dir):
     return I.summary(pixels(spark, sf_dir), lambda image: [(int((K.fill_color(image, (238, 238, 238), 8)[..., 3] == 0).sum()),)], "n_clear long")
 

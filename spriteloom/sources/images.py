@@ -106,6 +106,18 @@ def encode_results(results: DataFrame, scale: int = 1) -> DataFrame:
     return named.mapInArrow(kernel, "name string, content binary")
 
 
+def encode_pngs(images: DataFrame) -> DataFrame:
+    """(path, content): the PNG file of every decoded ``images`` row."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                image = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], 4)
+                yield pa.RecordBatch.from_pylist([{"path": row["path"], "content": png.encode(image)}], schema=pa.schema([("path", pa.string()), ("content", pa.binary())]))
+
+    return images.where("data is not null").select("path", "width", "height", "data").mapInArrow(kernel, "path string, content binary")
+
+
 def write_zip(files: DataFrame, path: str) -> int:
     """One ZIP archive of (name, content) rows on the driver, a partition at a time; returns the number of files."""
     n = 0
