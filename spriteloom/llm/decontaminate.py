@@ -39,6 +39,8 @@ COVERAGE = 0.6
 SLICE_TOKENS = 2_000_000
 BASE = 0x9E3779B97F4A7C15
 TOKEN = re.compile(r"\w+")
+#: What marked tokens are overwritten with (-1 is a token that no item has).
+_DOC, _ITEM = -2, -3
 
 
 def tokens(text: str | None) -> list[str]:
@@ -56,36 +58,56 @@ def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
+def run_lengths(doc: np.ndarray, item: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How far doc[i:] and item[j:] go together, for every pair of places (i, j)."""
+    n, alive = np.zeros(len(i), np.int64), np.arange(len(i))
+    while len(alive):
+        u, v = i[alive] + n[alive], j[alive] + n[alive]
+        inside = (u < len(doc)) & (v < len(item))
+        alive, u, v = alive[inside], u[inside], v[inside]
+        alive = alive[doc[u] == item[v]]
+        n[alive] += 1
+    return n
+
+
 def tile(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (start in doc, start in item, length) of non-overlapping matches of at least ``least`` tokens, longest first."""
-    doc_free, item_free = np.ones(len(doc), bool), np.ones(len(item), bool)
+    # marked tokens get numbers of their own, which match nothing
+    doc_left, item_left = doc.copy(), item.copy()
     tiles: list[tuple[int, int, int]] = []
     size = max(least, len(item) // 2)
     while size >= least:
-        where: dict[int, list[int]] = {}
-        for j, h in enumerate(window_hashes(item, size).tolist()):
-            if item_free[j : j + size].all():
-                where.setdefault(h, []).append(j)
-        hashes = window_hashes(doc, size)
-        hits = np.flatnonzero(np.isin(hashes, np.fromiter(where, np.uint64, len(where)))) if where and len(hashes) else []
-        matches = []
-        for i in hits:
-            for j in where[int(hashes[i])]:
-                n = 0
-                while i + n < len(doc) and j + n < len(item) and doc_free[i + n] and item_free[j + n] and doc[i + n] == item[j + n]:
-                    n += 1
-                if n >= size:
-                    matches.append((-n, int(i), j))
-        for n, i, j in sorted(matches):
-            if doc_free[i : i - n].all() and item_free[j : j - n].all():
-                doc_free[i : i - n] = item_free[j : j - n] = False
-                tiles.append((i, j, -n))
+        theirs, mine = window_hashes(item_left, size), window_hashes(doc_left, size)
+        order = np.argsort(theirs, kind="stable")
+        lo, hi = np.searchsorted(theirs[order], mine, "left"), np.searchsorted(theirs[order], mine, "right")
+        n = hi - lo
+        i = np.repeat(np.arange(len(mine)), n)
+        j = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        length = run_lengths(doc_left, item_left, i, j)
+        whole = length >= size
+        i, j, length = i[whole], j[whole], length[whole]
+        cut = False
+        for k in np.lexsort((j, i, -length)).tolist():
+            a, b, m = int(i[k]), int(j[k]), int(length[k])
+            # the marks of this pass: ends suffice, as no tile is longer than those marked before it
+            if doc_left[a] == _DOC or doc_left[a + m - 1] == _DOC or item_left[b] == _ITEM or item_left[b + m - 1] == _ITEM:
+                cut = True
+                continue
+            doc_left[a : a + m], item_left[b : b + m] = _DOC, _ITEM
+            tiles.append((a, b, m))
         # a match that a longer one has cut short may still hold a shorter tile: the same size again, then smaller
-        if not any(doc_free[i : i + size].all() and item_free[j : j + size].all() for _, i, j in matches):
+        if not (cut and _left(doc_left, item_left, size)):
             size = size - 1 if size <= 2 * least else max(least, size // 2)
     return tiles
 
 
+def _left(doc: np.ndarray, item: np.ndarray, size: int) -> bool:
+    """Whether unmarked windows of this size are still shared."""
+    mine, theirs = window_hashes(doc, size), window_hashes(item, size)
+    free = np.lib.stride_tricks.sliding_window_view(item, size).min(1) >= 0 if len(theirs) else np.empty(0, bool)
+    return bool(np.isin(mine, theirs[free]).any())
+
+
 def _slices(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, list[str]]]]:
     """The items with their tokens, in slices of at most ``limit`` tokens (or one item)."""
     got, n = [], 0
@@ -113,6 +135,7 @@ class Slice:
         hashes = np.concatenate([*parts, np.empty(0, np.uint64)])
         owner = np.repeat(np.arange(len(parts)), [len(h) for h in parts])
         order = np.argsort(hashes, kind="stable")
+        self.lengths = np.array([len(item) for item in self.items], np.int64)
         self.seed, self.hashes, self.owner = seed, hashes[order], owner[order]
 
     def leaks(self, words: list[str], coverage: float) -> Iterator[tuple[int, float, list[tuple[int, int, int]]]]:
@@ -138,10 +161,17 @@ class Slice:
         item = self.owner[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         order = np.lexsort((place, item))
         place, item = place[order], item[order]
+        # a tile lies on seeds, so an item with too few of them is out before it is tiled
+        many = np.bincount(item, minlength=len(self.items)) * size >= coverage * self.lengths
+        place, item = place[many[item]], item[many[item]]
+        if not len(item):
+            return
         for part in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1):
             wanted = self.items[item[part[0]]]
             # every tile is made of this item's seeds, so only the places under them matter
             under = np.unique((place[part][:, None] + np.arange(size)).ravel())
+            if len(under) < coverage * len(wanted):
+                continue
             gaps = np.flatnonzero(np.diff(under) > 1) + 1
             doc, real = np.insert(ids[under], gaps, -1), np.insert(under, gaps, -1)
             tiles = [(int(real[i]), j, n) for i, j, n in tile(doc, wanted, size)]
