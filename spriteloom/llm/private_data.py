@@ -29,6 +29,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialize
 
@@ -144,9 +145,12 @@ def _words(m: str) -> Column:
 
 def discover(table: DataFrame, confident: float = CONFIDENT, accept: float = ACCEPT, least_values: int = LEAST_VALUES, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, text_hash, start, kind, end) of mentions that the pattern graph accepts beside the base spans."""
-    flat = table.select("doc_id", "text_hash", "spans", F.explode("mentions").alias("m"))
-    over = F.filter("spans", lambda s: (s["start"] < F.col("m.end")) & (s["end"] > F.col("m.start")))
-    flat = flat.select("doc_id", "text_hash", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.found").alias("value"), _words("m").alias("patterns"), F.when(F.size(over) > 0, F.element_at(over, 1)["kind"]).alias("kind"))
+    # a mention's kind is that of the base span that reaches furthest of those that begin before its end: one running maximum per text
+    spans = table.select("doc_id", "text_hash", F.explode("spans").alias("s")).select("doc_id", "text_hash", F.col("s.start").alias("at"), F.lit(1).alias("late"), F.struct(F.col("s.end").alias("end"), F.col("s.kind").alias("kind")).alias("span"), F.lit(None).cast(table.schema["mentions"].dataType.elementType).alias("m"))
+    mentions = table.select("doc_id", "text_hash", F.explode("mentions").alias("m")).select("doc_id", "text_hash", F.col("m.end").alias("at"), F.lit(0).alias("late"), F.lit(None).cast("struct<end:bigint,kind:int>").alias("span"), "m")
+    so_far = Window.partitionBy("doc_id", "text_hash").orderBy("at", "late").rowsBetween(Window.unboundedPreceding, 0)
+    flat = spans.union(mentions).withColumn("over", F.max("span").over(so_far)).where("m is not null")
+    flat = flat.select("doc_id", "text_hash", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.found").alias("value"), _words("m").alias("patterns"), F.when(F.col("over.end") > F.col("m.start"), F.col("over.kind")).alias("kind"))
     flat = materialize(flat, "pii-mentions")
     # the graph: distinct (pattern, value), and the kind of the values that are seeds
     graph = flat.select("value", F.explode("patterns").alias("pattern")).distinct()
