@@ -38,6 +38,8 @@ from .common import bounded_sample, materialize
 DICT_MAGIC = 0x184D2A5D
 SKIPPABLE = range(0x184D2A50, 0x184D2A60)
 FRAME_MAGIC = 0xFD2FB528
+#: Bytes; the format has no smaller one.
+LEAST_DICTIONARY = 256
 URN = "urn:x-page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Groups of equal payloads up to this number are broadcast (under 100 bytes each).
@@ -150,12 +152,14 @@ def train_dictionary(pages: DataFrame, samples: int = 400, sample_chars: int = 8
 
     rows = bounded_sample(pages.where("html is not null").select("page_id", F.substring("html", 1, sample_chars).alias("html")), ["page_id"], samples, 7).collect()
     texts = sorted(r["html"].encode("utf-8", "surrogatepass") for r in rows)
-    if sum(map(len, texts)) < 8 * size:
-        return b""
-    try:
-        return zstandard.train_dictionary(size, texts).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    # a small sample gives a small dictionary
+    size = min(size, sum(map(len, texts)) // 8)
+    while size >= LEAST_DICTIONARY:
+        try:
+            return zstandard.train_dictionary(size, texts).as_bytes()
+        except zstandard.ZstdError:
+            size //= 2
+    return b""
 
 
 def with_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
