@@ -142,18 +142,26 @@ def _parities(texts: DataFrame, size: int) -> DataFrame:
     return _tokens(texts, size).withColumn("__bit", bit).groupBy("id").agg(F.count("*").cast("int").alias("n"), *odd)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of lines whose shingle sets have at least the similarity.
+def _able(similarity: float) -> Column:
+    """Whether lines of n and m shingles with parities x0 ... and y0 ... may reach the similarity.
 
     A shingle of both lines changes the same parity in either, so the bits in which
-    their parities differ are at most as many as the shingles that only one of them
-    has: pairs that this bound excludes need no sets.
+    their parities differ are at most as many as the shingles that only one of them has.
     """
-    one = marks.select(F.col("id").alias("a"), "n", *[F.col(f"p{w}").alias(f"x{w}") for w in range(WORDS)])
-    two = marks.select(F.col("id").alias("b"), F.col("n").alias("m"), *[F.col(f"p{w}").alias(f"y{w}") for w in range(WORDS)])
     apart = sum((F.bit_count(F.col(f"x{w}").bitwiseXOR(F.col(f"y{w}"))) for w in range(WORDS)), F.lit(0))
     most = F.least(F.col("n"), F.col("m"), (F.col("n") + F.col("m") - apart) / 2)
-    able = pairs.join(one, "a").join(two, "b").where(most >= similarity * (F.col("n") + F.col("m") - most)).select("a", "b", "n", "m")
+    return most >= similarity * (F.col("n") + F.col("m") - most) - 1e-9
+
+
+def _parity_columns(name: str) -> list[Column]:
+    return [F.col(f"p{w}").alias(f"{name}{w}") for w in range(WORDS)]
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of lines whose shingle sets have at least the similarity; pairs that their parities exclude need no sets."""
+    one = marks.select(F.col("id").alias("a"), "n", *_parity_columns("x"))
+    two = marks.select(F.col("id").alias("b"), F.col("n").alias("m"), *_parity_columns("y"))
+    able = pairs.join(one, "a").join(two, "b").where(_able(similarity)).select("a", "b", "n", "m")
     joined = able.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     # the sets are several times the texts, so they are made behind the shuffles
     both = F.size(F.array_intersect(shingles(F.col("x"), size), shingles(F.col("y"), size)))
@@ -177,11 +185,17 @@ def _placed(df: DataFrame, roots: DataFrame) -> DataFrame:
     return df.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
-def _prefix_pairs(prefixes: DataFrame, roots: DataFrame, similarity: float, heads: bool) -> DataFrame:
+def _prefix_pairs(prefixes: DataFrame, roots: DataFrame, marks: DataFrame, similarity: float, heads: bool) -> DataFrame:
     """(a, b): the pairs of lines in different components that share a shingle of their prefixes and may reach the similarity; with ``heads`` only those with the shingle's smallest or largest line."""
     rows = _placed(prefixes, roots)
-    side = lambda k, r, n, p: rows.select("token", F.col("id").alias(k), F.col("root").alias(r), F.col("n").alias(n), F.col("left").alias(p))
-    one, two = side("a", "ra", "n", "p"), side("b", "rb", "m", "q")
+    if not heads:
+        # the parities go along, so that the join itself puts out only pairs that they do not exclude
+        rows = rows.drop("n").join(marks, "id")
+
+    def side(k: str, r: str, n: str, left: str, parity: str) -> DataFrame:
+        return rows.select("token", F.col("id").alias(k), F.col("root").alias(r), F.col("n").alias(n), F.col("left").alias(left), *([] if heads else _parity_columns(parity)))
+
+    one, two = side("a", "ra", "n", "p", "x"), side("b", "rb", "m", "q", "y")
     if heads:
         ends = two.groupBy("token").agg(F.min(F.struct("b", "rb", "m", "q")).alias("lo"), F.max(F.struct("b", "rb", "m", "q")).alias("hi"))
         two = ends.select("token", F.explode(F.array("lo", "hi")).alias("h")).select("token", "h.*")
@@ -189,7 +203,7 @@ def _prefix_pairs(prefixes: DataFrame, roots: DataFrame, similarity: float, head
     need = similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9
     far = (F.col("ra") != F.col("rb")) & (F.col("p") >= need) & (F.col("q") >= need)
     if not heads:
-        far = far & (F.col("a") < F.col("b"))
+        far = far & (F.col("a") < F.col("b")) & _able(similarity)
     return one.join(two, "token").where(far).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -227,8 +241,8 @@ def line_components(docs: DataFrame, size: int = SHINGLE, k: int = SKETCH, run:
         many = materialize(left.where("not small").select("id", "root").distinct(), "lines-crowd")
         if many.limit(1).count():
             prefixes = _prefixes(many, texts, marks, size, similarity)
-            links, roots = linked(pairs.union(_prefix_pairs(prefixes, roots, similarity, True)).distinct(), links)
-            pairs = _prefix_pairs(prefixes, roots, similarity, False)
+            links, roots = linked(pairs.union(_prefix_pairs(prefixes, roots, marks, similarity, True)).distinct(), links)
+            pairs = _prefix_pairs(prefixes, roots, marks, similarity, False)
         links, roots = linked(pairs, links)
     return signed.drop("bands"), roots.select(F.col("node").alias("id"), "root")
 

@@ -141,6 +141,46 @@ def test_near_lines_by_all_character_shingles(spark):
     assert got[len(lines) - 1] == len(lines) - 1
 
 
+def jaccard(x, y, size=12):
+    x, y = ({t[i : i + size] for i in range(max(1, len(t) - size + 1))} for t in (x, y))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("crowd", [0, 1_000_000])
+def test_open_bands_lose_no_link(spark, crowd):
+    """Lines that share a long passage: components by prefix filtering (crowd 0) and pair by pair against all pairs."""
+    import random
+
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9))) for _ in range(400)]
+    passage = [r.choice(words) for _ in range(40)]
+    texts = []
+    for family in range(12):
+        tail = [r.choice(words) for _ in range(6 + family)]
+        for _ in range(12):
+            line = passage + tail
+            for _ in range(r.randint(0, 4)):
+                line[r.randrange(len(line))] = r.choice(words)
+            texts.append(" ".join(line))
+    texts = sorted(set(texts))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    lines, roots = minhash_lines.line_components(docs, crowd=crowd)
+    found = lines.join(roots, "id", "left").select("doc_id", "id", "root").collect()
+    root = {x["doc_id"]: x["id"] if x["root"] is None else x["root"] for x in found}
+    top = list(range(len(texts)))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    links = [(i, k) for i in range(len(texts)) for k in range(i) if jaccard(texts[i], texts[k]) >= 0.8]
+    for i, k in links:
+        top[find(i)] = find(k)
+    assert len(links) > 50
+    assert {(i, k) for i in root for k in root if root[i] == root[k]} == {(i, k) for i in root for k in root if find(i) == find(k)}
+
+
 def test_a_large_group_of_near_lines_is_one_class(spark):
     words = [f"word{i}" for i in range(60)]
     rows = [(k, " ".join([*words[:30], f"odd{k}", *words[31:]])) for k in range(300)]
