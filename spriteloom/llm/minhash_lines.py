@@ -23,8 +23,8 @@ Not all pairs of a band are formed:
    lines that reach the similarity share a shingle in their first parts, and what lies
    behind that shingle is still enough for it.  A passage that very many lines hold
    makes its shingles frequent, so lines that have nothing else in common never meet.
-   Here too the smallest and the largest line of a shingle come first, and other
-   pairs follow only between the components that are then left.
+   Here too a few lines of each shingle come first, and other pairs follow only
+   between the components that are then left.
 
 So no link between different components of a band is lost.
 
@@ -62,6 +62,8 @@ SIMILARITY = 0.8
 TIERS = ("mpcdg", "aeio")
 #: Pairs of lines in different components up to which an open band is verified pair by pair.
 CROWD = 64
+#: How often a shingle's first and last line, each time in another order, are verified before the pairs that are left.
+HEAD_ROUNDS = 2
 #: Words of 64 parities by which pairs are excluded before their sets are made (a power of two).
 WORDS = 16
 #: Line names and bands up to this number may be broadcast (8 bytes each).
@@ -185,24 +187,25 @@ def _placed(df: DataFrame, roots: DataFrame) -> DataFrame:
     return df.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
-def _prefix_pairs(prefixes: DataFrame, roots: DataFrame, marks: DataFrame, similarity: float, heads: bool) -> DataFrame:
-    """(a, b): the pairs of lines in different components that share a shingle of their prefixes and may reach the similarity; with ``heads`` only those with the shingle's smallest or largest line."""
+def _prefix_pairs(prefixes: DataFrame, roots: DataFrame, marks: DataFrame, similarity: float, heads: int | None) -> DataFrame:
+    """(a, b): the pairs of lines in different components that share a shingle of their prefixes and may reach the similarity; with ``heads`` only those with the shingle's first or last line in an order that this number seeds."""
     rows = _placed(prefixes, roots)
-    if not heads:
+    if heads is None:
         # the parities go along, so that the join itself puts out only pairs that they do not exclude
         rows = rows.drop("n").join(marks, "id")
 
     def side(k: str, r: str, n: str, left: str, parity: str) -> DataFrame:
-        return rows.select("token", F.col("id").alias(k), F.col("root").alias(r), F.col("n").alias(n), F.col("left").alias(left), *([] if heads else _parity_columns(parity)))
+        return rows.select("token", F.col("id").alias(k), F.col("root").alias(r), F.col("n").alias(n), F.col("left").alias(left), *([] if heads is not None else _parity_columns(parity)))
 
     one, two = side("a", "ra", "n", "p", "x"), side("b", "rb", "m", "q", "y")
-    if heads:
-        ends = two.groupBy("token").agg(F.min(F.struct("b", "rb", "m", "q")).alias("lo"), F.max(F.struct("b", "rb", "m", "q")).alias("hi"))
-        two = ends.select("token", F.explode(F.array("lo", "hi")).alias("h")).select("token", "h.*")
+    if heads is not None:
+        line = F.struct(F.xxhash64(F.lit(heads), "b").alias("order"), "b", "rb", "m", "q")
+        ends = two.groupBy("token").agg(F.min(line).alias("lo"), F.max(line).alias("hi"))
+        two = ends.select("token", F.explode(F.array("lo", "hi")).alias("h")).select("token", "h.b", "h.rb", "h.m", "h.q")
     # what lies behind the first shared shingle must hold the whole intersection
     need = similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9
     far = (F.col("ra") != F.col("rb")) & (F.col("p") >= need) & (F.col("q") >= need)
-    if not heads:
+    if heads is None:
         far = far & (F.col("a") < F.col("b")) & _able(similarity)
     return one.join(two, "token").where(far).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -241,8 +244,10 @@ def line_components(docs: DataFrame, size: int = SHINGLE, k: int = SKETCH, run:
         many = materialize(left.where("not small").select("id", "root").distinct(), "lines-crowd")
         if many.limit(1).count():
             prefixes = _prefixes(many, texts, marks, size, similarity)
-            links, roots = linked(pairs.union(_prefix_pairs(prefixes, roots, marks, similarity, True)).distinct(), links)
-            pairs = _prefix_pairs(prefixes, roots, marks, similarity, False)
+            for seed in range(HEAD_ROUNDS):
+                links, roots = linked(pairs.union(_prefix_pairs(prefixes, roots, marks, similarity, seed)).distinct(), links)
+                pairs = pairs.limit(0)
+            pairs = _prefix_pairs(prefixes, roots, marks, similarity, None)
         links, roots = linked(pairs, links)
     return signed.drop("bands"), roots.select(F.col("node").alias("id"), "root")
 
