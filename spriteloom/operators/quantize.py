@@ -1,7 +1,8 @@
 """Nearest palette colours and ordered dithering.
 
-The palette's entries are constants, so the best one is an expression on a row:
-pixels are mapped where they are read, without a join or a shuffle.
+The palette's entries are constants, so the best one is an expression on a row.  Few
+entries are tried where a pixel is read, without a shuffle; for more of them each
+image's distinct colours are looked up once and joined back by image and colour.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ def palette_entries(found: list[tuple[int, int, int]]) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip((i, *rgb, *lab), ("idx", "pr", "pg", "pb", "L", "a", "b"), strict=True)]) for i, rgb, lab in rows])
 
 
-#: Up to this size a palette is written out in the generated code; larger ones are an array that is walked.
-WRITTEN_OUT = 32
+#: Up to this size a palette is written out in the generated code and tried on every row; larger ones are an array that is walked.
+WRITTEN_OUT = 8
 
 
 def nearest_entry(rows: DataFrame, found: list[tuple[int, int, int]], biased: bool = True) -> DataFrame:
@@ -53,9 +54,22 @@ def nearest_rgb(distinct: DataFrame, found: list[tuple[int, int, int]]) -> DataF
     return distinct.withColumn("__best", best).select(*distinct.columns, *[F.col(f"__best.{c}").alias(f"n{c}") for c in "rgb"])
 
 
+def _nearest_of_pixels(pixels: DataFrame, keys: list[str], shown: list[Column], found: list[tuple[int, int, int]], biased: bool) -> DataFrame:
+    """``pixels`` with idx, pr, pg, pb of the entry nearest to the colour ``shown``, which depends on the columns ``keys`` alone."""
+    names = [c.alias(n) for c, n in zip(shown, "rgb", strict=True)]
+    if len(found) <= WRITTEN_OUT:
+        others = [F.col(c).alias(f"own_{c}") for c in pixels.columns]
+        best = nearest_entry(pixels.select(*others, *names), found, biased)
+        return best.select(*[F.col(f"own_{c}").alias(c) for c in pixels.columns], "idx", "pr", "pg", "pb")
+    distinct = pixels.select("image_id", *keys).distinct()
+    best = nearest_entry(distinct.select("image_id", *[F.col(c).alias(f"own_{c}") for c in keys], *names), found, biased)
+    best = best.select("image_id", *[F.col(f"own_{c}").alias(c) for c in keys], "idx", "pr", "pg", "pb")
+    return pixels.join(best, ["image_id", *keys]).select(*pixels.columns, "idx", "pr", "pg", "pb")
+
+
 def map_to_palette(pixels: DataFrame, found: list[tuple[int, int, int]], biased: bool = True) -> DataFrame:
     """Pixels with their visible colours replaced by the nearest of the palette."""
-    best = nearest_entry(pixels, found, biased)
+    best = _nearest_of_pixels(pixels, ["r", "g", "b"], [F.col(c) for c in "rgb"], found, biased)
     return best.select("image_id", "w", "h", "y", "x", *[F.when(F.col("a") > 0, F.col(f"p{c}")).otherwise(F.col(c)).alias(c) for c in "rgb"], "a")
 
 
@@ -64,9 +78,10 @@ def ordered_dither(pixels: DataFrame, found: list[tuple[int, int, int]], mode: s
     matrix = dither_matrix(mode)
     n = int(len(matrix) ** 0.5)
     cell = ((F.col("y") % n) * n + F.col("x") % n + 1).cast("int")
-    bias = (F.element_at(F.array(*[F.lit(v) for v in matrix]), cell) - 0.5) * (strength * 255)
-    shown = pixels.where("a > 0").select("image_id", "y", "x", *[F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col(c) + bias)).alias(c) for c in "rgb"])
-    return nearest_entry(shown, found, biased).select("image_id", "y", "x", "idx", "pr", "pg", "pb")
+    bias = (F.element_at(F.array(*[F.lit(v) for v in matrix]), F.col("cell")) - 0.5) * (strength * 255)
+    shown = [F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col(c) + bias)) for c in "rgb"]
+    solid = pixels.where("a > 0").select("image_id", "y", "x", *"rgb", cell.alias("cell"))
+    return _nearest_of_pixels(solid, ["r", "g", "b", "cell"], shown, found, biased).select("image_id", "y", "x", "idx", "pr", "pg", "pb")
 
 
 def built_in(name: str) -> list[tuple[int, int, int]]:
