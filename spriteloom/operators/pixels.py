@@ -1,6 +1,6 @@
 """Operators on the ``pixels`` relation (image_id, w, h, y, x, r, g, b, a).
 
-Every shuffle is keyed by image (and place), so images are the unit of distribution
+Shuffles here are keyed by image (and place), so images are the unit of distribution
 and a large one is still split by its rows' places.
 """
 

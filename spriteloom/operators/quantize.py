@@ -1,8 +1,8 @@
 """Nearest palette colours and ordered dithering.
 
 The palette's entries are constants, so the best one is an expression on a row.  Few
-entries are tried where a pixel is read, without a shuffle; for more of them each
-image's distinct colours are looked up once and joined back by image and colour.
+entries are tried where a pixel is read, without a shuffle; for more of them the
+distinct colours are looked up once and joined back by colour.
 """
 
 from __future__ import annotations
@@ -61,10 +61,10 @@ def _nearest_of_pixels(pixels: DataFrame, keys: list[str], shown: list[Column],
         others = [F.col(c).alias(f"own_{c}") for c in pixels.columns]
         best = nearest_entry(pixels.select(*others, *names), found, biased)
         return best.select(*[F.col(f"own_{c}").alias(c) for c in pixels.columns], "idx", "pr", "pg", "pb")
-    distinct = pixels.select("image_id", *keys).distinct()
-    best = nearest_entry(distinct.select("image_id", *[F.col(c).alias(f"own_{c}") for c in keys], *names), found, biased)
-    best = best.select("image_id", *[F.col(f"own_{c}").alias(c) for c in keys], "idx", "pr", "pg", "pb")
-    return pixels.join(best, ["image_id", *keys]).select(*pixels.columns, "idx", "pr", "pg", "pb")
+    distinct = pixels.select(*keys).distinct()
+    best = nearest_entry(distinct.select(*[F.col(c).alias(f"own_{c}") for c in keys], *names), found, biased)
+    best = best.select(*[F.col(f"own_{c}").alias(c) for c in keys], "idx", "pr", "pg", "pb")
+    return pixels.join(best, keys).select(*pixels.columns, "idx", "pr", "pg", "pb")
 
 
 def map_to_palette(pixels: DataFrame, found: list[tuple[int, int, int]], biased: bool = True) -> DataFrame:
