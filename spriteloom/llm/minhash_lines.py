@@ -144,6 +144,11 @@ def _parities(texts: DataFrame, size: int) -> DataFrame:
     return _tokens(texts, size).withColumn("__bit", bit).groupBy("id").agg(F.count("*").cast("int").alias("n"), *odd)
 
 
+def _reached(both: Column, similarity: float) -> Column:
+    """Whether ``both`` shingles shared by lines of n and m shingles make the similarity; ``both`` is named once, as a join's condition works out every mention."""
+    return both * (1 + similarity) >= similarity * (F.col("n") + F.col("m")) - 1e-9
+
+
 def _able(similarity: float) -> Column:
     """Whether lines of n and m shingles with parities x0 ... and y0 ... may reach the similarity.
 
@@ -151,8 +156,7 @@ def _able(similarity: float) -> Column:
     their parities differ are at most as many as the shingles that only one of them has.
     """
     apart = sum((F.bit_count(F.col(f"x{w}").bitwiseXOR(F.col(f"y{w}"))) for w in range(WORDS)), F.lit(0))
-    most = F.least(F.col("n"), F.col("m"), (F.col("n") + F.col("m") - apart) / 2)
-    return most >= similarity * (F.col("n") + F.col("m") - most) - 1e-9
+    return _reached(F.least(F.col("n"), F.col("m"), (F.col("n") + F.col("m") - apart) / 2), similarity)
 
 
 def _parity_columns(name: str) -> list[Column]:
@@ -167,7 +171,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, size: int, s
     joined = able.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     # the sets are several times the texts, so they are made behind the shuffles
     both = F.size(F.array_intersect(shingles(F.col("x"), size), shingles(F.col("y"), size)))
-    return joined.withColumn("both", both).where(F.col("both") >= similarity * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b")
+    return joined.where(_reached(both, similarity)).select("a", "b")
 
 
 def _prefixes(crowd: DataFrame, texts: DataFrame, marks: DataFrame, size: int, similarity: float) -> DataFrame:
