@@ -229,13 +229,20 @@ def line_components(docs: DataFrame, size: int = SHINGLE, k: int = SKETCH, run:
     texts = materialize(texts.where("lo = hi").select("id", "line"), "lines-texts")
     marks = materialize(_parities(texts, size), "lines-marks")
 
-    def linked(pairs: DataFrame, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """All links with those of ``pairs``, and the components."""
+    def linked(pairs: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+        """The components of all links so far; those of ``pairs`` join earlier components only by their roots."""
         found = materialize(_verified(pairs, texts, marks, size, similarity), "lines-links")
-        links = found if links is None else links.union(found)
-        return links, materialize(connected_components(links, "a", "b"), "lines-roots")
-
-    links, roots = linked(met.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
+        if roots is None:
+            return materialize(connected_components(found, "a", "b"), "lines-roots")
+        for end in ("a", "b"):
+            above = roots.select(F.col("node").alias(end), F.col("root").alias("__root"))
+            found = found.join(above, end, "left").withColumn(end, F.coalesce("__root", end)).drop("__root")
+        top = materialize(connected_components(found, "a", "b"), "lines-top")
+        higher = top.select(F.col("node").alias("root"), F.col("root").alias("__top"))
+        moved = roots.join(higher, "root", "left").select("node", F.coalesce("__top", "root").alias("root"))
+        return materialize(moved.union(top.join(roots, "node", "left_anti")), "lines-roots")
+
+    roots = linked(met.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
     # open bands: lines of different components, of which the head has met all
     placed = materialize(_placed(met, roots), "lines-placed")
     parts = placed.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("inside"), F.count("*").alias("roots"))
@@ -249,10 +256,10 @@ def line_components(docs: DataFrame, size: int = SHINGLE, k: int = SKETCH, run:
         if many.limit(1).count():
             prefixes = _prefixes(many, texts, marks, size, similarity)
             for seed in range(HEAD_ROUNDS):
-                links, roots = linked(pairs.union(_prefix_pairs(prefixes, roots, marks, similarity, seed)).distinct(), links)
+                roots = linked(pairs.union(_prefix_pairs(prefixes, roots, marks, similarity, seed)).distinct(), roots)
                 pairs = pairs.limit(0)
             pairs = _prefix_pairs(prefixes, roots, marks, similarity, None)
-        links, roots = linked(pairs, links)
+        roots = linked(pairs, roots)
     return signed.drop("bands"), roots.select(F.col("node").alias("id"), "root")
 
 
