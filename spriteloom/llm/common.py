@@ -12,6 +12,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,7 +48,42 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = _written.get()
+    if written is not None:
+        written.append((name, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+#: (name, path) of the tables that ``materialize`` wrote in the innermost ``scratch`` of this thread.
+_written: ContextVar[list[tuple[str, str]] | None] = ContextVar("written", default=None)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def discard(stored: DataFrame) -> None:
+    """Deletes a materialized table that no later plan reads."""
+    _delete(stored.sparkSession, stored._scratch)
+
+
+@contextmanager
+def scratch(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """Deletes at its end what was materialized inside, but for the tables named ``keep``, which the caller's lazy result still reads."""
+    outer, token = _written.get(), _written.set([])
+    try:
+        yield
+        inner = _written.get()
+    finally:
+        _written.reset(token)
+    for name, path in inner:
+        if name not in keep:
+            _delete(spark, path)
+        elif outer is not None:
+            outer.append((name, path))
 
 
 def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -70,7 +108,8 @@ def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 60)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
         small = small.select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
-        edges = materialize(small, "cc-round")
+        before, edges = edges, materialize(small, "cc-round")
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
         if state == now or now[0] == 0:
             break

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import unused, with_rows, without
+from .common import scratch, unused, with_rows, without
 
 SEED = 5
 COVERAGE = 0.6
@@ -211,6 +211,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``docs`` that contain no benchmark item; rows are judged one by one, whatever their doc_ids."""
     row = f"{unused(docs)}_row"
-    rows = with_rows(docs, row)
-    leaks = find_leaks(rows.select(F.col(row).alias("doc_id"), "text"), benchmark, seed, coverage).select("doc_id")
-    return without(rows, leaks, {"doc_id": F.col(row)}).drop(row)
+    with scratch(docs.sparkSession, "rows", "keys"):
+        rows = with_rows(docs, row)
+        leaks = find_leaks(rows.select(F.col(row).alias("doc_id"), "text"), benchmark, seed, coverage).select("doc_id")
+        return without(rows, leaks, {"doc_id": F.col(row)}).drop(row)

@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import connected_components, cut_lines, materialize, unused, with_rows
+from .common import connected_components, cut_lines, discard, materialize, scratch, unused, with_rows
 
 SHINGLE = 12
 SKETCH = 10
@@ -183,7 +183,9 @@ def _prefixes(crowd: DataFrame, texts: DataFrame, marks: DataFrame, size: int, s
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
     before = F.col("n") - F.count("*").over(Window.partitionBy("id"))
     left = shared.select("id", "n", "token", (F.col("n") - (before + rank - 1)).alias("left"))
-    return materialize(left.where(F.col("left") >= similarity * F.col("n") - 1e-9), "lines-prefixes")
+    prefixes = materialize(left.where(F.col("left") >= similarity * F.col("n") - 1e-9), "lines-prefixes")
+    discard(tokens)
+    return prefixes
 
 
 def _placed(df: DataFrame, roots: DataFrame) -> DataFrame:
@@ -227,6 +229,7 @@ def line_components(docs: DataFrame, size: int = SHINGLE, k: int = SKETCH, run:
     wanted = _few(materialize(met.select("id").distinct(), "lines-wanted"))
     texts = lines.select("id", "more", "line").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"), F.min("more").alias("lo"), F.max("more").alias("hi"))
     texts = materialize(texts.where("lo = hi").select("id", "line"), "lines-texts")
+    discard(heads)
     marks = materialize(_parities(texts, size), "lines-marks")
 
     def linked(pairs: DataFrame, roots: DataFrame | None = None) -> DataFrame:
@@ -292,11 +295,12 @@ def drop_repeated_lines(docs: DataFrame, **parameters) -> DataFrame:
     """
     tag = unused(docs)
     cut, row = f"{tag}_gone", f"{tag}_row"
-    rows = with_rows(docs, row)
-    lines, roots = line_components(rows.select("doc_id", F.col(row).alias("row"), "text"), **parameters)
-    gone = _kept_places(lines, roots, F.struct("doc_id", "row", "pos")).where(~F.col("place").eqNullSafe(F.col("keep")))
-    gone = gone.groupBy("row").agg(F.array_sort(F.collect_set(F.col("pos").cast("long"))).alias(cut))
-    gone = materialize(gone.select(F.col("row").alias(row), cut), "lines-gone")
+    with scratch(docs.sparkSession, "rows", "lines-gone"):
+        rows = with_rows(docs, row)
+        lines, roots = line_components(rows.select("doc_id", F.col(row).alias("row"), "text"), **parameters)
+        gone = _kept_places(lines, roots, F.struct("doc_id", "row", "pos")).where(~F.col("place").eqNullSafe(F.col("keep")))
+        gone = gone.groupBy("row").agg(F.array_sort(F.collect_set(F.col("pos").cast("long"))).alias(cut))
+        gone = materialize(gone.select(F.col("row").alias(row), cut), "lines-gone")
     joined = rows.join(gone, row, "left")
     out = cut_lines(joined, cut).where(F.col(cut).isNull() | (F.trim(F.translate("text", "\n\t\r\x0b\x0c", "     ")) != ""))
     return out.select(docs.columns)

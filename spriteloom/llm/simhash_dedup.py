@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, unused, with_rows, without
+from .common import connected_components, materialize, scratch, unused, with_rows, without
 
 #: Largest number of distinct fingerprints that one bucket may bring into a task.
 BUCKET = 8192
@@ -188,9 +188,10 @@ def drop_near_copies(docs: DataFrame, size: int = 3, distance: int = 3) -> DataF
     rows without a doc_id one stays too.
     """
     row = f"{unused(docs)}_row"
-    rows = with_rows(docs, row)
-    found = materialize(simhash_components(rows.select(F.col(row).alias("doc_id"), "text"), size, distance).select(F.col("doc_id").alias("row"), "component_id"), "simhash-rows")
-    ids = rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    best = found.join(ids, "row").groupBy("component_id", F.col("id").isNull()).agg(F.min(F.struct("id", "row")).alias("best"))
-    gone = found.join(best.select("best.row"), "row", "left_anti").select("row")
-    return without(rows, gone, {"row": F.col(row)}).drop(row)
+    with scratch(docs.sparkSession, "rows", "keys"):
+        rows = with_rows(docs, row)
+        found = materialize(simhash_components(rows.select(F.col(row).alias("doc_id"), "text"), size, distance).select(F.col("doc_id").alias("row"), "component_id"), "simhash-rows")
+        ids = rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"))
+        best = found.join(ids, "row").groupBy("component_id", F.col("id").isNull()).agg(F.min(F.struct("id", "row")).alias("best"))
+        gone = found.join(best.select("best.row"), "row", "left_anti").select("row")
+        return without(rows, gone, {"row": F.col(row)}).drop(row)
