@@ -45,7 +45,7 @@ STAGES = [
     ("mixture", mixture),
 ]
 
-#: The near-duplicate stage needs XXH64, which DuckDB's SQL does not have; the tests check its stages one by one.
+#: The near-duplicate stage needs XXH64, which DuckDB's SQL does not have; the tests compare ``run`` with a slow version.
 ORACLE_SQL = None
 
 
