@@ -43,11 +43,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Under this setting a query's shuffle files go when the query ends, not when the driver's garbage collection finds them.
+SHORT_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back."""
+    """``df`` written as Parquet to the shared folder and read back.
+
+    What was shuffled for it is deleted with the end of the write.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHORT_SHUFFLES, None)
+    spark.conf.set(SHORT_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHORT_SHUFFLES)
+        else:
+            spark.conf.set(SHORT_SHUFFLES, before)
     written = _written.get()
     if written is not None:
         written.append((name, path))
