@@ -19,6 +19,7 @@ from contextvars import ContextVar
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The ASCII white space that separates words everywhere in this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -168,10 +169,26 @@ def cut_lines(docs: DataFrame, cut: str) -> DataFrame:
 
 
 def with_rows(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` stored with a number of its own for every row, so that rows are told apart whatever their ids and texts."""
-    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
-
+    """``docs`` with a number of its own for every row, so that rows are told apart whatever their ids and texts.
 
+    The rows of a plain reading of files are numbered by their file and their place
+    in it, which every later reading repeats; any other ``docs`` is stored with its numbers.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or "_metadata" in (c.lower() for c in docs.columns):
+        return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+    path, place, number, known = (f"{name}_{k}" for k in ("path", "place", "number", "known"))
+    files = docs.select(F.col("_metadata.file_path").alias(known)).distinct()
+    # one row a file, numbered in the order of their paths
+    files = materialize(files.select(known, F.row_number().over(Window.orderBy(known)).cast("long").alias(number)), "rows")
+    if files.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        files = F.broadcast(files)
+    placed = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(place))
+    rows = placed.join(files, F.col(path) == F.col(known))
+    return rows.withColumn(name, F.col(number) * F.lit(ROWS_PER_FILE) + F.col(place)).drop(path, place, known, number)
+
+
+#: Rows of a file have numbers below this.
+ROWS_PER_FILE = 1 << 38
 #: Row keys up to this number may be broadcast (about 50 bytes each).
 BROADCAST_KEYS = 500_000
 
