@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut_lines, materialize, unused
+from .common import WORD, cut_lines, materialize, scratch, unused
 
 
 #: A line that no more texts of a host than this have is never frequent; a few, so that small hosts have frequent lines too.
@@ -157,8 +157,9 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """
     tag = unused(docs)
     names = {c: f"{tag}_{c}" for c in ("doc_id", "host", "text_hash", "kept", "cut")}
-    marked = _text_verdicts(docs, **limits).where("not kept or cut is not null")
-    marked = materialize(marked.select([F.col(c).alias(n) for c, n in names.items()]), "quality-marked")
+    with scratch(docs.sparkSession, "quality-marked"):
+        marked = _text_verdicts(docs, **limits).where("not kept or cut is not null")
+        marked = materialize(marked.select([F.col(c).alias(n) for c, n in names.items()]), "quality-marked")
     text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col(names["doc_id"])) & F.col("source").cast("string").eqNullSafe(F.col(names["host"])) & (text_hash == F.col(names["text_hash"]))
     out = docs.join(marked, on, "left").where(F.coalesce(F.col(names["kept"]), F.lit(True)))
