@@ -229,6 +229,9 @@ def line_components(docs: DataFrame, size: int = SHINGLE, k: int = SKETCH, run:
     wanted = _few(materialize(met.select("id").distinct(), "lines-wanted"))
     texts = lines.select("id", "more", "line").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"), F.min("more").alias("lo"), F.max("more").alias("hi"))
     texts = materialize(texts.where("lo = hi").select("id", "line"), "lines-texts")
+    # the bands are most of that table and no longer needed
+    numbered = materialize(signed.drop("bands"), "lines-numbered")
+    discard(signed)
     discard(heads)
     marks = materialize(_parities(texts, size), "lines-marks")
 
@@ -263,7 +266,7 @@ def line_components(docs: DataFrame, size: int = SHINGLE, k: int = SKETCH, run:
                 pairs = pairs.limit(0)
             pairs = _prefix_pairs(prefixes, roots, marks, similarity, None)
         roots = linked(pairs, roots)
-    return signed.drop("bands"), roots.select(F.col("node").alias("id"), "root")
+    return numbered, roots.select(F.col("node").alias("id"), "root")
 
 
 def line_classes(docs: DataFrame, **parameters) -> DataFrame:
