@@ -480,3 +480,19 @@ def test_label_model_trusts_votes_over_a_wrong_label():
     labels[3] = False
     q, hit, miss, share = toxicity.label_model(votes, labels)
     assert q[3] > 0.5 and (hit > 0.9).all() and (miss < 0.1).all() and (share < 1.01).all()
+
+
+def test_row_numbers_of_files_and_of_other_tables(spark, tmp_path):
+    """Rows are told apart, repeated ones too, and keep their numbers when they are read again."""
+    rows = [(None, "same"), (1, "same"), (1, "same"), (2, None)] * 50
+    path = str(tmp_path / "docs.parquet")
+    spark.createDataFrame(rows, "doc_id long, `odd.name` string").repartition(5).write.parquet(path)
+    docs = spark.read.parquet(path)
+    for given in (docs, docs.where("doc_id is null or doc_id < 9"), docs.limit(0)):
+        numbered = common.with_rows(given, "__row")
+        assert numbered.columns == [*given.columns, "__row"]
+        found, again = numbered.collect(), numbered.collect()
+        assert len({r["__row"] for r in found}) == len(found) == given.count()
+        assert sorted(r["__row"] for r in found) == sorted(r["__row"] for r in again)
+        key = lambda r: (r["__row"], r["doc_id"], r["odd.name"])
+        assert set(map(key, found)) == set(map(key, again))
