@@ -2,17 +2,48 @@
 
 Shuffles here are keyed by image (and place), so images are the unit of distribution
 and a large one is still split by its rows' places.
+
+The planner does not know how many pixels an image has: it takes ``pixels`` for about as
+small as the table they are made of, and would broadcast them.  So pixels are not joined
+with a relation of their own size: which cells a pixel belongs to follows from its place,
+and tables of a few rows per image come in by ``with_images``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.color import half_up, posterize, to_byte
+from ..functions.color import half_up, pack, posterize, to_byte
 from ..schema import PIXEL_COLUMNS
 
 CHANNELS = ("r", "g", "b", "a")
+#: A table of rows per image is sent to all executors up to this estimate of its bytes.
+SMALL = 4 << 20
+
+
+def with_images(pixels: DataFrame, table: DataFrame) -> DataFrame:
+    """``pixels`` with the rows of their image in ``table``, which is broadcast if it is small and merged otherwise; the pixels never are broadcast."""
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return pixels.join(table.hint("broadcast" if size <= SMALL else "merge"), "image_id")
+
+
+def packed() -> Column:
+    """A pixel's channels as one number, alpha highest."""
+    return F.shiftleft(F.col("a"), 24).bitwiseOR(pack()).cast("int")
+
+
+def unpacked(c: Column, channel: str) -> Column:
+    return F.shiftright(c, {"a": 24, "r": 16, "g": 8, "b": 0}[channel]).bitwiseAND(F.lit(255)).cast("int")
+
+
+def _in_cells(pixels: DataFrame, k: str, first: Column, last: Column, n: Column, inside: Callable[[Column], Column]) -> DataFrame:
+    """A row for every cell ``k`` of ``n`` along an axis that the pixel is ``inside`` of; ``first`` and ``last`` (null: unknown) bound them but for rounding."""
+    lo = F.greatest(F.lit(0), F.floor(F.coalesce(first, F.lit(0.0)) - 1e-3).cast("int"))
+    hi = F.least(n - 1, F.floor(F.coalesce(last, n.cast("double")) + 1e-3).cast("int"))
+    return pixels.withColumn(k, F.explode(F.when(lo <= hi, F.sequence(lo, hi)))).where(inside(F.col(k)))
 
 
 def explode_images(images: DataFrame) -> DataFrame:
@@ -72,7 +103,7 @@ def bounds(pixels: DataFrame, least_alpha: int) -> DataFrame:
 def crop(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     """The pixels inside each image's box (image_id, x, y, w, h), counted from its corner."""
     box = boxes.select("image_id", *[F.col(c).alias(f"__{c}") for c in "xywh"])
-    inside = pixels.join(box, "image_id").where("x >= __x and x < __x + __w and y >= __y and y < __y + __h")
+    inside = with_images(pixels, box).where("x >= __x and x < __x + __w and y >= __y and y < __y + __h")
     return inside.select("image_id", F.col("__w").cast("int").alias("w"), F.col("__h").cast("int").alias("h"), (F.col("y") - F.col("__y")).cast("int").alias("y"), (F.col("x") - F.col("__x")).cast("int").alias("x"), *CHANNELS)
 
 
