@@ -73,11 +73,14 @@ def posterize_pixels(pixels: DataFrame, step: int) -> DataFrame:
 
 def lookup_clamped(pixels: DataFrame, places: DataFrame) -> DataFrame:
     """The pixel at each place (image_id, qx, qy), places outside moved to the nearest edge."""
-    sizes = pixels.select("image_id", "w", "h").distinct()
-    at = places.join(sizes, "image_id")
+    sizes = frames(pixels).select("image_id", F.col("iw").alias("w"), F.col("ih").alias("h"))
+    at = with_images(places, sizes)
     clamp = lambda c, n: F.least(F.col(n) - 1, F.greatest(F.lit(0), F.col(c)))
     at = at.select("image_id", "qx", "qy", clamp("qx", "w").cast("int").alias("x"), clamp("qy", "h").cast("int").alias("y"))
-    return at.join(pixels, ["image_id", "y", "x"]).select("image_id", "qx", "qy", *CHANNELS)
+    # only pixels in a row and a column that is asked for are shuffled
+    asked = at.groupBy("image_id").agg(F.collect_set("x").alias("__x"), F.collect_set("y").alias("__y"))
+    near = with_images(pixels, asked).where(F.array_contains("__x", F.col("x")) & F.array_contains("__y", F.col("y")))
+    return at.hint("merge").join(near.select("image_id", "y", "x", *CHANNELS), ["image_id", "y", "x"]).select("image_id", "qx", "qy", *CHANNELS)
 
 
 def overwrite(pixels: DataFrame, changes: DataFrame) -> DataFrame:
