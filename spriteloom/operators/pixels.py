@@ -139,17 +139,24 @@ def _picked(pixels: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
     return found.select("image_id", F.col("ow").alias("w"), F.col("oh").alias("h"), F.col("j").alias("y"), F.col("i").alias("x"), *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in CHANNELS])
 
 
+def _cell_pixels(found: DataFrame) -> DataFrame:
+    return found.select("image_id", F.col("ow").alias("w"), F.col("oh").alias("h"), F.col("j").alias("y"), F.col("i").alias("x"), *CHANNELS)
+
+
 def resize_nearest(pixels: DataFrame, out_w: int, out_h: int, box: tuple[float, float, float, float] | None = None) -> DataFrame:
     """Each output pixel takes the nearest one to its centre's place in the crop box (x, y, w, h), by default the image."""
     out_w, out_h = max(1, int(out_w)), max(1, int(out_h))
-    grid = cells(frames(pixels), F.lit(out_w), F.lit(out_h))
-    x, y, w, h = [F.lit(float(v)) for v in box] if box else [F.lit(0.0), F.lit(0.0), F.col("iw").cast("double"), F.col("ih").cast("double")]
+    x, y, w, h = [F.lit(float(v)) for v in box] if box else [F.lit(0.0), F.lit(0.0), F.col("w").cast("double"), F.col("h").cast("double")]
 
-    def place(start: Column, length: Column, k: str, n: int, most: str) -> Column:
-        at = half_up(start + (F.col(k) + 0.5) * (F.greatest(length, F.lit(1e-6)) / n) - 0.5)
-        return F.least(F.col(most) - 1, F.greatest(F.lit(0), at)).cast("int")
+    def taken(rows: DataFrame, k: str, at: str, start: Column, length: Column, n: int, most: str) -> DataFrame:
+        step = F.greatest(length, F.lit(1e-6)) / n
+        place = lambda c: F.least(F.col(most) - 1, F.greatest(F.lit(0), half_up(start + (c + 0.5) * step - 0.5))).cast("int")
+        first = F.when(F.col(at) > 0, (F.col(at) - start) / step - 0.5)
+        last = F.when(F.col(at) < F.col(most) - 1, (F.col(at) + 1 - start) / step - 0.5)
+        return _in_cells(rows, k, first, last, F.lit(n), lambda c: place(c) == F.col(at))
 
-    return _picked(pixels, grid.withColumn("x", place(x, w, "i", out_w, "iw")).withColumn("y", place(y, h, "j", out_h, "ih")), "inner")
+    found = taken(taken(pixels, "i", "x", x, w, out_w, "w"), "j", "y", y, h, out_h, "h")
+    return _cell_pixels(found.withColumn("ow", F.lit(out_w)).withColumn("oh", F.lit(out_h)))
 
 
 def thumbnail(pixels: DataFrame, most: int = 80) -> DataFrame:
