@@ -161,10 +161,14 @@ def resize_nearest(pixels: DataFrame, out_w: int, out_h: int, box: tuple[float,
 
 def thumbnail(pixels: DataFrame, most: int = 80) -> DataFrame:
     """Images larger than ``most`` in width or height scaled down to fit, each output pixel the one under its centre; others stay as they are."""
-    ratio = F.when((F.col("iw") > most) | (F.col("ih") > most), F.least(F.lit(most) / F.col("iw"), F.lit(most) / F.col("ih"))).otherwise(F.lit(1.0))
-    grid = cells(frames(pixels), F.floor(F.col("iw") * ratio), F.floor(F.col("ih") * ratio))
-    at = lambda k, size, n: F.floor((F.col(k) + 0.5) * F.col(size) / F.col(n)).cast("int")
-    return _picked(pixels, grid.where("ow > 0 and oh > 0").withColumn("x", at("i", "iw", "ow")).withColumn("y", at("j", "ih", "oh")), "inner")
+    ratio = F.when((F.col("w") > most) | (F.col("h") > most), F.least(F.lit(most) / F.col("w"), F.lit(most) / F.col("h"))).otherwise(F.lit(1.0))
+    rows = pixels.withColumn("ow", F.floor(F.col("w") * ratio).cast("int")).withColumn("oh", F.floor(F.col("h") * ratio).cast("int")).where("ow > 0 and oh > 0")
+
+    def taken(rows: DataFrame, k: str, at: str, size: str, n: str) -> DataFrame:
+        bound = lambda c: c * F.col(n) / F.col(size) - 0.5
+        return _in_cells(rows, k, bound(F.col(at)), bound(F.col(at) + 1), F.col(n), lambda c: F.floor((c + 0.5) * F.col(size) / F.col(n)) == F.col(at))
+
+    return _cell_pixels(taken(taken(rows, "i", "x", "w", "ow"), "j", "y", "h", "oh"))
 
 
 def sample_points(pixels: DataFrame, grids: DataFrame) -> DataFrame:
