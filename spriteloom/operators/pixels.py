@@ -134,11 +134,6 @@ def cells(sizes: DataFrame, out_w: Column, out_h: Column) -> DataFrame:
     return sizes.withColumn("ow", out_w.cast("int")).withColumn("oh", out_h.cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ow") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("oh") - 1)))
 
 
-def _picked(pixels: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
-    found = wanted.join(pixels.select("image_id", "y", "x", *CHANNELS), ["image_id", "y", "x"], how)
-    return found.select("image_id", F.col("ow").alias("w"), F.col("oh").alias("h"), F.col("j").alias("y"), F.col("i").alias("x"), *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in CHANNELS])
-
-
 def _cell_pixels(found: DataFrame) -> DataFrame:
     return found.select("image_id", F.col("ow").alias("w"), F.col("oh").alias("h"), F.col("j").alias("y"), F.col("i").alias("x"), *CHANNELS)
 
@@ -171,11 +166,24 @@ def thumbnail(pixels: DataFrame, most: int = 80) -> DataFrame:
     return _cell_pixels(taken(taken(rows, "i", "x", "w", "ow"), "j", "y", "h", "oh"))
 
 
+GRID_COLUMNS = ("cellW", "cellH", "cropX", "cropY", "outW", "outH")
+
+
 def sample_points(pixels: DataFrame, grids: DataFrame) -> DataFrame:
     """One pixel per cell of ``grids`` (image_id, cellW, cellH, cropX, cropY, outW, outH); transparent outside the image."""
-    grid = cells(grids, F.col("outW"), F.col("outH"))
-    at = lambda start, k, size: F.floor(F.col(start) + (F.col(k) + 0.5) * F.col(size)).cast("int")
-    return _picked(pixels, grid.withColumn("x", at("cropX", "i", "cellW")).withColumn("y", at("cropY", "j", "cellH")), "left")
+    grids = grids.select("image_id", *GRID_COLUMNS)
+
+    def taken(rows: DataFrame, k: str, at: str, start: str, size: str, n: str) -> DataFrame:
+        bound = lambda c: F.when(F.col(size) > 0, (c - F.col(start)) / F.col(size) - 0.5)
+        return _in_cells(rows, k, bound(F.col(at)), bound(F.col(at) + 1), F.col(n).cast("int"), lambda c: F.floor(F.col(start) + (c + 0.5) * F.col(size)) == F.col(at))
+
+    found = with_images(pixels.select("image_id", "y", "x", packed().alias("p")), grids)
+    found = taken(taken(found, "i", "x", "cropX", "cellW", "outW"), "j", "y", "cropY", "cellH", "outH")
+    # every cell has a row of its own, which stays where no pixel is
+    keys = ["image_id", *GRID_COLUMNS, "j", "i"]
+    every = cells(grids, F.col("outW"), F.col("outH")).select(*keys, F.lit(None).cast("int").alias("p"))
+    shown = found.select(*keys, "p").union(every).groupBy(*keys).agg(F.coalesce(F.max("p"), F.lit(0)).alias("p"))
+    return shown.select("image_id", F.col("outW").cast("int").alias("w"), F.col("outH").cast("int").alias("h"), F.col("j").alias("y"), F.col("i").alias("x"), *[unpacked(F.col("p"), c).alias(c) for c in CHANNELS])
 
 
 def downsample(pixels: DataFrame, grids: DataFrame, window: int = 3) -> DataFrame:
