@@ -189,29 +189,33 @@ def sample_points(pixels: DataFrame, grids: DataFrame) -> DataFrame:
 def downsample(pixels: DataFrame, grids: DataFrame, window: int = 3) -> DataFrame:
     """Per cell and channel the exact median of the window around the cell's centre, over opaque pixels (alpha from 16) if there are any.
 
-    The window's offsets are exploded, so the join with the pixels is an equi-join.
+    Pixels outside all windows are left out where they are read.
     """
     half = max(0, window // 2)
-    grid = cells(grids.join(frames(pixels), "image_id"), F.col("outW"), F.col("outH"))
     whole = (F.abs(F.col("cellW") - half_up(F.col("cellW"))) < 1e-6) & (F.abs(F.col("cellH") - half_up(F.col("cellH"))) < 1e-6)
 
-    def centre(start: str, k: str, size: str) -> Column:
-        c = half_up(F.col(size))
-        return F.when(whole, F.col(start) + F.col(k) * c + F.floor(c / 2)).otherwise(half_up(F.col(start) + (F.col(k) + 0.5) * F.col(size)))
-
-    def window_of(c: Column, n: str) -> Column:
-        lo, hi = F.least(F.col(n) - 1, F.greatest(F.lit(0), c - half)), F.least(F.col(n), F.greatest(F.lit(1), c + half + 1))
-        return F.sequence(lo.cast("int"), (hi - 1).cast("int"))
-
-    wanted = grid.withColumn("x", F.explode(window_of(centre("cropX", "i", "cellW"), "iw"))).withColumn("y", F.explode(window_of(centre("cropY", "j", "cellH"), "ih")))
-    joined = wanted.select("image_id", "ow", "oh", "i", "j", "y", "x").join(pixels.select("image_id", "y", "x", *CHANNELS), ["image_id", "y", "x"])
-    found = joined.groupBy("image_id", "ow", "oh", "j", "i").agg(F.collect_list(F.struct(*CHANNELS)).alias("all"))
-    solid = found.withColumn("solid", F.filter("all", lambda p: p["a"] >= 16))
+    def seen(rows: DataFrame, k: str, at: str, start: str, size: str, n: str, length: str) -> DataFrame:
+        def inside(k: Column) -> Column:
+            c = half_up(F.col(size))
+            centre = F.when(F.col("__whole"), F.col(start) + k * c + F.floor(c / 2)).otherwise(half_up(F.col(start) + (k + 0.5) * F.col(size)))
+            lo, hi = F.least(F.col(length) - 1, F.greatest(F.lit(0), centre - half)), F.least(F.col(length), F.greatest(F.lit(1), centre + half + 1))
+            return F.col(at).between(lo.cast("int"), (hi - 1).cast("int"))
+
+        # a window outside the image is moved to its edge
+        bound = lambda c: (c - F.col(start)) / F.col(size) - 0.5
+        first = F.when((F.col(at) > 0) & (F.col(size) > 0), bound(F.col(at) - half - 2))
+        last = F.when((F.col(at) < F.col(length) - 1) & (F.col(size) > 0), bound(F.col(at) + half + 2))
+        return _in_cells(rows, k, first, last, F.col(n).cast("int"), inside)
+
+    rows = with_images(pixels.select("image_id", "w", "h", "y", "x", packed().alias("p")), grids.select("image_id", *GRID_COLUMNS, whole.alias("__whole")))
+    joined = seen(seen(rows, "i", "x", "cropX", "cellW", "outW", "w"), "j", "y", "cropY", "cellH", "outH", "h")
+    found = joined.groupBy("image_id", F.col("outW").cast("int").alias("ow"), F.col("outH").cast("int").alias("oh"), "j", "i").agg(F.collect_list("p").alias("all"))
+    solid = found.withColumn("solid", F.filter("all", lambda p: unpacked(p, "a") >= 16))
     used = solid.withColumn("used", F.when(F.size("solid") > 0, F.col("solid")).otherwise(F.col("all"))).withColumn("n", F.size("used"))
 
     def middle(c: str) -> Column:
         """The median of a channel over the window, which holds a few pixels."""
-        values = F.transform(F.array(F.array_sort(F.transform("used", lambda p: p[c]))), lambda s: (F.get(s, F.floor((F.col("n") - 1) / 2).cast("int")) + F.get(s, F.floor(F.col("n") / 2).cast("int"))) / 2)
+        values = F.transform(F.array(F.array_sort(F.transform("used", lambda p: unpacked(p, c)))), lambda s: (F.get(s, F.floor((F.col("n") - 1) / 2).cast("int")) + F.get(s, F.floor(F.col("n") / 2).cast("int"))) / 2)
         return to_byte(F.element_at(values, 1)).alias(c)
 
     return used.select("image_id", F.col("ow").alias("w"), F.col("oh").alias("h"), F.col("j").alias("y"), F.col("i").alias("x"), *map(middle, CHANNELS))
