@@ -228,14 +228,18 @@ def outline(pixels: DataFrame, color: tuple[int, int, int], style: str) -> DataF
     """
     if style == "none":
         return pixels
-    framed = pad(pixels, 1, 1, 1, 1)
-    solid = framed.where("a > 0")
+    framed = pad(pixels, 1, 1, 1, 1).where("a is not null")
     steps = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx or dy) and (style == "rounded" or not (dx and dy))]
-    around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in steps])).alias("n")
-    near = solid.select("image_id", "w", "h", "y", "x", around).select("image_id", "w", "h", (F.col("y") + F.col("n.dy")).alias("y"), (F.col("x") + F.col("n.dx")).alias("x")).distinct()
-    line = near.join(solid.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_anti").select("image_id", "w", "h", "y", "x", *[F.lit(v).alias(c) for c, v in zip("rgb", color, strict=True)], F.lit(255).alias("a"))
-    rest = framed.where("a <= 0").join(line.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_anti").select(*PIXEL_COLUMNS)
-    return solid.select(*PIXEL_COLUMNS).union(rest).union(line.select(*PIXEL_COLUMNS))
+    to = lambda places: F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in places])
+    marks = framed.withColumn("n", F.explode(F.when(F.col("a") > 0, to([(0, 0), *steps])).otherwise(to([(0, 0)]))))
+    # of what a place gets, a visible pixel goes before the line, the line before a transparent pixel
+    own = (F.col("n.dx") == 0) & (F.col("n.dy") == 0)
+    kind = F.when(~own, 1).when(F.col("a") > 0, 2).otherwise(0)
+    value = F.shiftleft(kind.cast("long"), 32).bitwiseOR(packed().cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    line = (F.lit(1 << 32) + ((255 << 24) + (color[0] << 16) + (color[1] << 8) + color[2])).cast("long")
+    marks = marks.select("image_id", "w", "h", (F.col("y") + F.col("n.dy")).alias("y"), (F.col("x") + F.col("n.dx")).alias("x"), F.when(own, value).otherwise(line).alias("v"))
+    found = marks.groupBy("image_id", "w", "h", "y", "x").agg(F.max("v").alias("v"))
+    return found.select("image_id", "w", "h", "y", "x", *[unpacked(F.col("v"), c).alias(c) for c in CHANNELS])
 
 
 def inner_background(pixels: DataFrame, targets: DataFrame, tolerance: int) -> DataFrame:
