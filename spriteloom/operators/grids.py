@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import kernels as K
 from ..functions.color import half_up
 from . import pixels as P
 
@@ -60,31 +63,40 @@ def largest_lattice(scores: DataFrame, slack: float = 0.35) -> DataFrame:
     return rows.select("image_id", best.alias("best")).select("image_id", "best.size", "best.offset", "best.score")
 
 
-def all_sizes(w: str, h: str) -> Column:
+def all_sizes(width: int, height: int) -> list[tuple[int, int]]:
     """The sizes (outW, outH) that the full search tries on an image: every outH from max(2, h / 32) to h / 4, 128 at most."""
-    width, height = F.col(w), F.col(h)
-    least = F.greatest(F.lit(2), F.floor(height / 32))
-    most = F.least(F.lit(128), F.greatest(least, F.floor(height / 4)))
-    sizes = F.transform(F.sequence(least, most), lambda n: F.struct(F.greatest(F.lit(2), F.floor(n * (width / height) + 0.5)).cast("int").alias("outW"), n.cast("int").alias("outH")))
-    return F.filter(sizes, lambda s: (s["outW"] <= 256) & (s["outH"] <= 256) & (width > s["outW"]) & (height > s["outH"]))
+    least = max(2, height // 32)
+    sizes = [(max(2, int(np.floor(n * (width / height) + 0.5))), n) for n in range(least, min(128, max(least, height // 4)) + 1)]
+    return [(w, h) for w, h in sizes if w <= 256 and h <= 256 and width > w and height > h]
 
 
 def reconstruction_errors(pixels: DataFrame, mask: DataFrame, out_sizes: list[tuple[int, int]] | None, window: int = 3, stride: int = 1) -> DataFrame:
-    """(image_id, outW, outH, err, n): summed absolute difference of the masked pixels to the colour of their cell, per candidate size (None: all sizes of the full search)."""
+    """(image_id, outW, outH, err, n): summed absolute difference of the masked pixels to the colour of their cell, per candidate size (None: all sizes of the full search).
 
-    def tried(w: str, h: str) -> Column:
-        return F.explode(all_sizes(w, h) if out_sizes is None else F.array(*[F.struct(F.lit(a).alias("outW"), F.lit(b).alias("outH")) for a, b in out_sizes]))
-
-    base = P.frames(pixels).select("*", tried("iw", "ih").alias("__c")).select("image_id", "iw", "ih", "__c.*")
-    grids = base.select("image_id", "outW", "outH", (F.col("iw") / F.col("outW")).alias("cellW"), (F.col("ih") / F.col("outH")).alias("cellH"), F.lit(0.0).alias("cropX"), F.lit(0.0).alias("cropY"))
+    Pixels and mask meet once, by image; candidates multiply no rows.
+    One image is one group: its memory is that of one raster.
+    """
 
-    # candidates multiply cells, not pixels: a cell's window is looked up by place
-    small = P.downsample(pixels, grids, window)
-    on = pixels.join(mask.where("a >= 16").select("image_id", "y", "x"), ["image_id", "y", "x"], "left_semi").where((F.col("x") % stride == 0) & (F.col("y") % stride == 0))
-    place = on.join(grids, "image_id").select("image_id", "outW", "outH", F.col("r").alias("r0"), F.col("g").alias("g0"), F.col("b").alias("b0"), F.least(F.col("outW") - 1, F.floor(F.col("x") / F.col("cellW"))).cast("int").alias("x"), F.least(F.col("outH") - 1, F.floor(F.col("y") / F.col("cellH"))).cast("int").alias("y"))
-    cell = small.select("image_id", F.col("w").alias("outW"), F.col("h").alias("outH"), "x", "y", "r", "g", "b")
-    gap = F.abs(F.col("r") - F.col("r0")) + F.abs(F.col("g") - F.col("g0")) + F.abs(F.col("b") - F.col("b0"))
-    return place.join(cell, ["image_id", "outW", "outH", "x", "y"]).groupBy("image_id", "outW", "outH").agg(F.sum(gap).alias("err"), F.count("*").alias("n"))
+    def run(key: tuple, frame: pd.DataFrame, masked: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(frame) and len(masked):
+            w, h = int(frame["w"].iloc[0]), int(frame["h"].iloc[0])
+            image, present, on = np.zeros((h, w, 4), np.uint8), np.zeros((h, w), bool), np.zeros((h, w), bool)
+            at = frame["y"].to_numpy(), frame["x"].to_numpy()
+            for k, shift in enumerate((16, 8, 0, 24)):
+                image[(*at, k)] = frame["p"].to_numpy() >> shift & 255
+            present[at] = True
+            masked = masked[masked["on_y"].between(0, h - 1) & masked["on_x"].between(0, w - 1)]
+            on[masked["on_y"], masked["on_x"]] = True
+            for out_w, out_h in all_sizes(w, h) if out_sizes is None else out_sizes:
+                rows.append((key[0], out_w, out_h, *K.reconstruction(image, present, on & present, out_w, out_h, window, stride)))
+        return pd.DataFrame([r for r in rows if r[-1]], columns=["image_id", "outW", "outH", "err", "n"])
+
+    known = pixels.where("image_id is not null").select("image_id", "w", "h", "y", "x", P.packed().alias("p"))
+    on = mask.where("a >= 16 and image_id is not null and x is not null and y is not null")
+    # names of its own: the mask may be made of the very same columns
+    on = on.select(*[F.col(c).alias(f"on_{c}") for c in ("image_id", "y", "x")])
+    return known.groupBy("image_id").cogroup(on.groupBy("on_image_id")).applyInPandas(run, "image_id long, outW int, outH int, err long, n long")
 
 
 def best_size(errors: DataFrame) -> DataFrame:
