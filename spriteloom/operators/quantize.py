@@ -1,15 +1,19 @@
 """Nearest palette colours and ordered dithering.
 
 The palette's entries are constants, so the best one is an expression on a row.  Few
-entries are tried where a pixel is read, without a shuffle; for more of them the
-distinct colours are looked up once and joined back by colour.
+entries are tried where a pixel is read; for more of them each Arrow batch of pixels
+looks up its distinct colours.  Neither shuffles, and nothing grows with the colours seen.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import kernels as K
 from ..functions.color import oklab, palette_distance
@@ -61,10 +65,23 @@ def _nearest_of_pixels(pixels: DataFrame, keys: list[str], shown: list[Column],
         others = [F.col(c).alias(f"own_{c}") for c in pixels.columns]
         best = nearest_entry(pixels.select(*others, *names), found, biased)
         return best.select(*[F.col(f"own_{c}").alias(c) for c in pixels.columns], "idx", "pr", "pg", "pb")
-    distinct = pixels.select(*keys).distinct()
-    best = nearest_entry(distinct.select(*[F.col(c).alias(f"own_{c}") for c in keys], *names), found, biased)
-    best = best.select(*[F.col(f"own_{c}").alias(c) for c in keys], "idx", "pr", "pg", "pb")
-    return pixels.join(best, keys).select(*pixels.columns, "idx", "pr", "pg", "pb")
+    palette = np.array(found, float)
+    lab, n = K.oklab(palette), len(pixels.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = np.zeros(batch.num_rows, np.int64)
+            for c in batch.columns[n : n + len(keys)]:
+                key = key << 16 | c.to_numpy(zero_copy_only=False).astype(np.int64)
+            _, first, back = np.unique(key, return_index=True, return_inverse=True)
+            rgb = np.stack([c.to_numpy(zero_copy_only=False)[first] for c in batch.columns[n + len(keys) :]], 1)
+            idx = K.palette_index(rgb, palette, lab, biased)[back.ravel()] if len(first) else np.zeros(0, int)
+            best = [idx, *(palette[idx, k] for k in range(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(v.astype(np.int32)) for v in best)], names=out.fieldNames())
+
+    out = T.StructType([*pixels.schema.fields, *(T.StructField(c, T.IntegerType()) for c in ("idx", "pr", "pg", "pb"))])
+    rows = pixels.dropna(subset=keys).select("*", *[F.col(c).cast("int").alias(f"__key_{c}") for c in keys], *[c.cast("double").alias(f"__shown_{n}") for c, n in zip(shown, "rgb", strict=True)])
+    return rows.mapInArrow(run, out)
 
 
 def map_to_palette(pixels: DataFrame, found: list[tuple[int, int, int]], biased: bool = True) -> DataFrame:
