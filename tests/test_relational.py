@@ -122,3 +122,57 @@ def test_grid_search_tries_all_sizes(spark, monkeypatch):
     assert sorted(map(tuple, tried)) == [(n, n) for n in range(2, 9)]
     monkeypatch.setattr(image_queries, "pixels", lambda *a: px)
     assert [tuple(r) for r in image_queries.queries()["grid_search_best"](spark, "").collect()] == [(1, 8, 8)]
+
+
+def broadcast_rows(df) -> list[int]:
+    """How many rows each broadcast of a finished query held."""
+    found = []
+
+    def walk(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(plan.finalPhysicalPlan())
+        if name == "BroadcastExchangeExec":
+            found.append(plan.metrics().apply("numOutputRows").value())
+        if name.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        for k in range(plan.children().length()):
+            walk(plan.children().apply(k))
+
+    df.collect()
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+@pytest.mark.parametrize("name", "floyd_steinberg outline_rounded outline_sharp resize_crop resize_nearest thumbnail_fit crop downsample_median downsample_fractional point_sample grid_search_best grid_search_error pixel_lookup_clamped map_to_palette".split())
+def test_pixels_are_not_broadcast(spark, name):
+    """The tables of 10 images may be, not their 37,000 pixels or what each of them becomes."""
+    assert max(broadcast_rows(queries.queries()[name](spark, DATA)), default=0) <= 10 * 4
+
+
+def test_sampling_of_odd_grids(spark, px, image):
+    schema = "image_id long, cellW double, cellH double, cropX double, cropY double, outW int, outH int"
+    for cell, x, y, n, m in ((2.0, -7.0, 3.0, 14, 9), (0.4, 5.5, 5.25, 9, 8), (6.0, 11.0, -20.0, 4, 7)):
+        one = spark.createDataFrame([(1, cell, cell, x, y, n, m)], schema)
+        grid = K.Grid(cell, cell, crop_x=x, crop_y=y, out_w=n, out_h=m)
+        assert (raster(P.sample_points(px, one)) == K.sample_points(image, grid)).all()
+        for window in (1, 5):
+            assert (raster(P.downsample(px, one, window)) == K.downsample(image, grid, window)).all()
+    assert (raster(P.resize_nearest(px, 23, 40, (3.5, -4, 20, 30))) == K.resize_nearest(image, 3.5, -4, 20, 30, 23, 40)).all()
+    elsewhere = spark.createDataFrame([(2, 1.0, 1.0, 0.0, 0.0, 2, 2)], schema)
+    assert [r["a"] for r in P.sample_points(px, elsewhere).collect()] == [0] * 4 and P.downsample(px, elsewhere).count() == 0
+
+
+def test_grid_errors_of_absent_pixels(spark, px, image):
+    from spriteloom.operators import grids
+
+    sparse = px.where("(x + y) % 3 != 0 or x < 4")
+    cells = {(r["outW"], r["outH"]): (r["err"], r["n"]) for r in grids.reconstruction_errors(sparse, px.where("x > 2 or y < 3"), [(3, 4), (6, 5)]).collect()}
+    here = {(r["x"], r["y"]): r for r in sparse.collect()}
+    for (n, m), got in cells.items():
+        one = spark.createDataFrame([(1, 17 / n, 13 / m, 0.0, 0.0, n, m)], "image_id long, cellW double, cellH double, cropX double, cropY double, outW int, outH int")
+        small = {(r["x"], r["y"]): r for r in P.downsample(sparse, one).collect()}
+        on = [(p, small.get((min(n - 1, int(x / (17 / n))), min(m - 1, int(y / (13 / m)))))) for (x, y), p in here.items() if p["a"] >= 16 and (x > 2 or y < 3)]
+        gaps = [sum(abs(p[c] - q[c]) for c in "rgb") for p, q in on if q]
+        assert got == (sum(gaps), len(gaps))
+    assert len(cells) == 2
