@@ -2,7 +2,7 @@
 
 The palette's entries are constants, so the best one is an expression on a row.  Few
 entries are tried where a pixel is read; for more of them each Arrow batch of pixels
-looks up its distinct colours.  Neither shuffles, and nothing grows with the colours seen.
+looks up its distinct colours, images kept whole.  Nothing grows with the colours seen.
 """
 
 from __future__ import annotations
@@ -81,7 +81,8 @@ def _nearest_of_pixels(pixels: DataFrame, keys: list[str], shown: list[Column],
 
     out = T.StructType([*pixels.schema.fields, *(T.StructField(c, T.IntegerType()) for c in ("idx", "pr", "pg", "pb"))])
     rows = pixels.dropna(subset=keys).select("*", *[F.col(c).cast("int").alias(f"__key_{c}") for c in keys], *[c.cast("double").alias(f"__shown_{n}") for c, n in zip(shown, "rgb", strict=True)])
-    return rows.mapInArrow(run, out)
+    # an image stays whole; few input files would make few tasks of it
+    return rows.repartition("image_id").mapInArrow(run, out)
 
 
 def map_to_palette(pixels: DataFrame, found: list[tuple[int, int, int]], biased: bool = True) -> DataFrame:
