@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -218,15 +218,25 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     Damped Newton steps on smoothed targets, with a weak pull towards (1, 0) that
     keeps separable data from running off.
     """
-    n = float(len(y))
-    target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (n - y.sum() + 2))
+    n, positives = float(len(y)), y.sum()
+    return platt_by(lambda at: platt_moments(z, y, at, n, positives))
+
+
+def platt_moments(z: np.ndarray, y: np.ndarray, at: np.ndarray, n: float, positives: float) -> np.ndarray:
+    """What these rows, of ``n`` with ``positives`` of them, add to the gradient and the second derivatives at (a, b)."""
+    target = np.where(y > 0, (positives + 1) / (positives + 2), 1 / (n - positives + 2))
+    q = 1 / (1 + np.exp(-np.clip(at[0] * z + at[1], -40, 40)))
+    w = q * (1 - q)
+    return np.array([((q - target) * z).sum(), (q - target).sum(), (w * z * z).sum(), (w * z).sum(), w.sum()])
+
+
+def platt_by(moments: Callable[[np.ndarray], np.ndarray]) -> tuple[float, float]:
+    """Platt's calibration from the moments of all rows at any (a, b)."""
     at = np.array([1.0, 0.0])
     for _ in range(200):
-        q = 1 / (1 + np.exp(-np.clip(at[0] * z + at[1], -40, 40)))
-        w = q * (1 - q)
-        pull = 0.05
-        g = np.array([((q - target) * z).sum(), (q - target).sum()]) + pull * (at - [1, 0])
-        h = np.array([[(w * z * z).sum(), (w * z).sum()], [(w * z).sum(), w.sum()]]) + pull * np.eye(2)
+        m, pull = moments(at), 0.05
+        g = m[:2] + pull * (at - [1, 0])
+        h = np.array([[m[2], m[3]], [m[3], m[4]]]) + pull * np.eye(2)
         step = np.clip(np.linalg.solve(h, g), -0.5, 0.5)
         at = at - step
         if np.abs(step).max() < 1e-8:

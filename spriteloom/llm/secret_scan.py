@@ -7,17 +7,21 @@ to the network to judge.  Each comes with its surrounding context.  A candidate
 overlapping windows of that length and scored by the best of them; its kind is
 that of the whole run.  The findings are labelled by the patterns:
 base spans are positive, other candidates negative.  A small convolutional
-network in numpy is trained on a bounded, seeded sample of the labelled findings.
+network in numpy learns from all distinct windows of the labelled findings, but for a
+fifth by hash that is held out; both labels weigh alike.
 Half of the positives appear a second time with another finding's context, and half
 of the negatives with a positive's context, so neither side alone decides.  Its
-scores are calibrated (Platt) on a held-out part, and the threshold is the highest
+scores are calibrated (Platt) on the held-out part, and the threshold is the highest
 one that keeps the recall on held-out positives at ``RECALL``; the recall reached
 is the network's ``recall``.  Every candidate is scored; those above the threshold are added,
 under the kind whose shape they have.  Base spans always stay.
 
 Scale.  One pass reads the texts and leaves spans and candidate windows (of
-``WINDOW`` characters, about three times a long candidate in all), stored in the shared folder; training reads at most
-``SAMPLE`` of them per label, in hash order; scoring is a map over the windows.
+``WINDOW`` characters, about three times a long candidate in all), stored in the shared folder.  The distinct windows are dealt by hash to shards of about
+``SHARD``, never more than ``SHARDS``.  An epoch of training is a map over the shards, each of which goes
+on from the mean of all networks (and of their optimizers) after the epoch before; calibration and
+threshold add up what the shards count.  What a shard sends to the driver is of fixed size, and
+is added in the order of the shards, so reruns agree.  Scoring is a map over the windows.
 The network (a few kilobytes) is broadcast.
 
 Edge cases: a null text is an empty one; without positives or negatives to learn
@@ -30,7 +34,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -38,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, materialize, platt
+from .common import discard, materialize, platt, platt_by, platt_moments
 
 KINDS = ("assign", "access", "hex")
 PATTERNS = {
@@ -56,7 +60,13 @@ ASSIGNED = re.compile(r"""[:=]>?[\x20\t]*["'`]?(?P<value>[A-Za-z0-9+/_.=-]{6,})"
 NAMED = re.compile(r"""(?i:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|key|auth(?:entication|orization)?|credentials?|bearer|basic|login)(?:[^\w\n]{1,4}(?:(?:is|was|to|as)\x20+["'`]?)?)(?P<value>[A-Za-z0-9+/_.=-]{6,})""", re.A)
 BEFORE, BODY, AFTER = 24, 40, 8
 WINDOW = BEFORE + BODY + AFTER
-SAMPLE = 3000
+#: Windows of a shard, up to as many shards; the rarer label's windows go to several shards where one would have fewer than ``SHARD_LEAST`` of them.
+SHARD, SHARDS, SHARD_LEAST = 4096, 256, 64
+EPOCHS, STEPS = 12, 50
+#: One window in so many is held out.
+HELD = 5
+#: Parts by which a range of held-out logits is narrowed, and how many logits of it reach the driver.
+PARTS = 1024
 RECALL = 0.98
 #: What the threshold reaches where the labels are told apart well; not a floor.
 LEAST_SCORE = 0.9
@@ -151,36 +161,63 @@ class CharNet:
         return np.concatenate(out) if out else np.empty(0)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.a * self.logits(x) + self.b, -40, 40)))
+        return self.probability(self.logits(x))
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.01, seed: int = SEED) -> None:
+    def probability(self, z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.a * z + self.b, -40, 40)))
+
+    def pack(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in self.p.values()])
+
+    def unpack(self, flat: np.ndarray) -> None:
+        at = 0
+        for k, v in self.p.items():
+            self.p[k] = flat[at : at + v.size].reshape(v.shape).copy()
+            at += v.size
+
+    def gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Of the weighted mean loss, packed."""
+        f, d, w = self.FILTERS, self.DIM, self.p["w"].astype(np.float32)
+        e = self.p["e"].astype(np.float32)[x]
+        n = x.shape[1] - self.WIDTH + 1
+        col = np.concatenate([e[:, k : k + n] for k in range(self.WIDTH)], axis=2).reshape(-1, self.WIDTH * d)
+        z = (col @ w + self.p["c"].astype(np.float32)).reshape(len(x), n, f)
+        h = np.maximum(z, 0)
+        top = h.argmax(1)
+        pooled = np.concatenate((np.take_along_axis(h, top[:, None], 1)[:, 0], h.mean(1)), axis=1).astype(np.float64)
+        off = (1 / (1 + np.exp(-np.clip(pooled @ self.p["u"] + self.p["v"][0], -40, 40))) - y) * weight / len(x)
+        dh = np.repeat((off[:, None] * self.p["u"][f:])[:, None] / n, n, axis=1)
+        np.put_along_axis(dh, top[:, None], np.take_along_axis(dh, top[:, None], 1) + (off[:, None] * self.p["u"][:f])[:, None], 1)
+        dh = (dh * (z > 0)).astype(np.float32).reshape(-1, f)
+        back = (dh @ w.T).reshape(len(x), n, -1)
+        de = np.zeros((*x.shape, d), np.float32)
+        for k in range(self.WIDTH):
+            de[:, k : k + n] += back[:, :, k * d : (k + 1) * d]
+        ge = np.stack([np.bincount(x.ravel(), de[:, :, j].ravel(), CLASSES) for j in range(d)], axis=1)
+        g = {"e": ge, "w": col.T @ dh, "c": dh.sum(0), "u": pooled.T @ off, "v": off.sum()}
+        return np.concatenate([np.ravel(g[k]) for k in self.p]).astype(np.float64)
+
+    def epoch(self, x: np.ndarray, y: np.ndarray, state: np.ndarray, seed: int, batch: int = 64, rate: float = 0.01) -> np.ndarray:
+        """Adam once over the rows, or as often as makes ``STEPS`` steps where they are few; ``state`` holds its two packed moments and the number of steps so far, and so does the result.  Both labels weigh alike."""
+        size = (len(state) - 1) // 2
+        flat, m, s, t = self.pack(), state[:size].copy(), state[size:-1].copy(), state[-1]
+        share = np.maximum(1, np.bincount(y.astype(int), minlength=2))
+        weight = (len(y) / (2 * share))[y.astype(int)]
         r = np.random.default_rng(seed)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        t, f = 0, self.FILTERS
-        for _ in range(epochs):
-            order = r.permutation(len(x))
-            for i in range(0, len(x), batch):
-                xb, yb = x[order[i : i + batch]], y[order[i : i + batch]]
-                col = self._columns(xb)
-                z = col @ self.p["w"] + self.p["c"]
-                h = np.maximum(z, 0)
-                top = h.argmax(1)
-                pooled = np.concatenate((np.take_along_axis(h, top[:, None], 1)[:, 0], h.mean(1)), axis=1)
-                d = (1 / (1 + np.exp(-np.clip(pooled @ self.p["u"] + self.p["v"][0], -40, 40))) - yb) / len(xb)
-                dh = np.repeat((d[:, None] * self.p["u"][f:])[:, None] / h.shape[1], h.shape[1], axis=1)
-                np.put_along_axis(dh, top[:, None], np.take_along_axis(dh, top[:, None], 1) + (d[:, None] * self.p["u"][:f])[:, None], 1)
-                dh *= z > 0
-                g = {"u": pooled.T @ d, "v": np.array([d.sum()]), "w": np.tensordot(col, dh, ((0, 1), (0, 1))), "c": dh.sum((0, 1)), "e": np.zeros_like(self.p["e"])}
-                de = dh @ self.p["w"].T
-                n = h.shape[1]
-                for k in range(self.WIDTH):
-                    np.add.at(g["e"], xb[:, k : k + n], de[:, :, k * self.DIM : (k + 1) * self.DIM])
-                t += 1
-                for k, grad in g.items():
-                    m[k] = 0.9 * m[k] + 0.1 * grad
-                    s[k] = 0.999 * s[k] + 0.001 * grad**2
-                    self.p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)
+        order = np.concatenate([r.permutation(len(x)) for _ in range(max(1, -(-STEPS * batch // len(x))))])
+        for i in range(0, len(x), batch):
+            take = order[i : i + batch]
+            grad = self.gradient(x[take], y[take], weight[take])
+            t += 1
+            m = 0.9 * m + 0.1 * grad
+            s = 0.999 * s + 0.001 * grad**2
+            flat = flat - rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
+            self.unpack(flat)
+        return np.concatenate((m, s, [t]))
+
+    def fresh(self) -> np.ndarray:
+        """The state before the first epoch."""
+        return np.zeros(2 * len(self.pack()) + 1)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
         self.a, self.b = platt(self.logits(x), y)
@@ -189,21 +226,33 @@ class CharNet:
         self.recall = float((positive >= self.threshold).mean()) if len(positive) else 0.0
 
 
+def mixed(x: np.ndarray, y: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows, half of each label a second time with the context of one of the other label."""
+    r = np.random.default_rng(seed)
+    more, labels = [x], [y]
+    for label in (1, 0):
+        own, other = x[y == label][::2].copy(), x[y != label]
+        if len(own) and len(other):
+            context = other[r.integers(0, len(other), len(own))]
+            own[:, :BEFORE], own[:, BEFORE + BODY :] = context[:, :BEFORE], context[:, BEFORE + BODY :]
+            more.append(own)
+            labels.append(np.full(len(own), float(label)))
+    return np.concatenate(more), np.concatenate(labels)
+
+
 def fit(positive: list[tuple[str, str, str]], negative: list[tuple[str, str, str]], seed: int = SEED) -> CharNet | None:
-    """A calibrated network, or None if one label has no findings."""
+    """A calibrated network from windows in memory, as one shard whose rows are held out behind the mixing; None if one label has no findings."""
     if not positive or not negative:
         return None
-    r = np.random.default_rng(seed)
-    rows = [(p, 1.0) for p in positive] + [(n, 0.0) for n in negative]
-    rows += [((negative[j][0], p[1], negative[j][2]), 1.0) for p, j in zip(positive[::2], r.integers(0, len(negative), len(positive)), strict=False)]
-    rows += [((positive[j][0], n[1], positive[j][2]), 0.0) for n, j in zip(negative[::2], r.integers(0, len(positive), len(negative)), strict=False)]
-    x, y = np.array([encode(*w) for w, _ in rows]), np.array([label for _, label in rows])
+    x, y = mixed(np.array([encode(*w) for w in positive + negative]), np.repeat([1.0, 0.0], [len(positive), len(negative)]), seed)
     held = np.zeros(len(y), bool)
-    held[r.permutation(len(y))[: max(1, len(y) // 5)]] = True
-    if not (y[held] > 0).any() or not (y[~held] > 0).any() or (y[~held] > 0).all():
+    held[np.random.default_rng(seed).permutation(len(y))[: max(1, len(y) // HELD)]] = True
+    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held[:] = False
     net = CharNet(seed)
-    net.train(x[~held], y[~held], seed=seed)
+    state = net.fresh()
+    for k in range(EPOCHS):
+        state = net.epoch(x[~held], y[~held], state, seed + k)
     net.calibrate(*((x[held], y[held]) if held.any() else (x, y)))
     return net
 
@@ -243,25 +292,120 @@ def span_table(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(kernel, "doc_id long, text_hash long, spans array<struct<start:long,kind:int,end:long>>, found array<struct<start:long,end:long,kind:int,windows:array<struct<before:string,body:string,after:string>>,label:int>>")
 
 
-def train_on(table: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> CharNet | None:
-    """A network trained on at most ``sample`` labelled findings of each label, taken in hash order of their distinct windows."""
+def dealt(table: DataFrame, seed: int = SEED, shard: int = SHARD) -> DataFrame | None:
+    """(shard, x, y, hx, hy): all distinct windows of the labelled findings in shards, encoded, with their labels, those to learn from and those held out; None if a label has none.
+
+    Where a label would be missing among the windows held out or the others, none is held out.
+    """
     flat = table.select(F.explode("found").alias("f")).select("f.label", F.explode("f.windows").alias("w")).select("w.before", "w.body", "w.after", "label").distinct()
-    flat = materialize(flat, "secret-windows")
-    got = {}
-    for label in (0, 1):
-        rows = bounded_sample(flat.where(F.col("label") == label), ["before", "body", "after"], sample, seed).collect()
-        got[label] = [(r["before"], r["body"], r["after"]) for r in rows]
-    return fit(got[1], got[0], seed)
+    order = F.xxhash64(F.lit(seed), "before", "body", "after", "label")
+    rows = materialize(flat.withColumn("order", order).withColumn("held", F.pmod("order", F.lit(HELD)) == 0), "secret-windows")
+    n = {(r["label"], r["held"]): r["count"] for r in rows.groupBy("label", "held").count().collect()}
+    of = [n.get((label, False), 0) + n.get((label, True), 0) for label in (0, 1)]
+    if not all(of):
+        return None
+    if len(n) < 4:
+        rows = rows.withColumn("held", F.lit(False))
+    shards = min(SHARDS, -(-sum(of) // shard))
+    copies = [min(shards, -(-SHARD_LEAST * shards // n.get((label, False), of[label]))) for label in (0, 1)]
+    last = F.when(F.col("held"), 0).when(F.col("label") == 1, copies[1] - 1).otherwise(copies[0] - 1)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), last))).withColumn("shard", F.pmod(F.pmod(F.xxhash64("order"), F.lit(shards)) + F.col("copy"), F.lit(shards)).cast("int"))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, found in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                parts: list[list[bytes]] = [[], [], [], []]
+                for w in found.as_py():
+                    parts[2 * w["held"]].append(encode(w["before"], w["body"], w["after"]).astype(np.uint8).tobytes())
+                    parts[2 * w["held"] + 1].append(bytes([w["label"]]))
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *(pa.array([b"".join(part)], pa.binary()) for part in parts)], names=["shard", "x", "y", "hx", "hy"])
+
+    grouped = rows.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("order", "before", "body", "after", "label", "held"))).alias("found"))
+    return materialize(grouped.repartition(shards, "shard").mapInArrow(kernel, "shard int, x binary, y binary, hx binary, hy binary"), "secret-shards")
+
+
+def _arrays(x: bytes, y: bytes, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    codes, labels = np.frombuffer(x, np.uint8).reshape(-1, WINDOW), np.frombuffer(y, np.uint8).astype(float)
+    return mixed(codes.astype(np.int64), labels, seed)
+
+
+def _each(shards: DataFrame, work: Callable[..., np.ndarray]) -> list[np.ndarray]:
+    """What ``work`` makes of each shard (its number and columns), in the order of the shards."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), pa.array([np.asarray(work(*row), np.float64).tobytes()], pa.binary())], names=["shard", "value"])
+
+    rows = shards.mapInArrow(kernel, "shard int, value binary").collect()
+    return [np.frombuffer(r["value"]) for r in sorted(rows, key=lambda r: r["shard"])]
+
+
+def _ranked(logits: DataFrame, k: int) -> float:
+    """The logit of a positive that has ``k`` smaller ones, or equal ones before it."""
+    positive = lambda z, y: np.frombuffer(z)[np.frombuffer(y) > 0]
+    ends = _each(logits, lambda _, z, y: np.array([positive(z, y).min(initial=np.inf), positive(z, y).max(initial=-np.inf)]))
+    lo, hi = min(e[0] for e in ends), max(e[1] for e in ends)
+    while lo < hi:
+        edges = np.unique(np.linspace(lo, hi, PARTS + 1))
+        # how many lie at or below each edge
+        below = sum(_each(logits, lambda _, z, y, edges=edges: np.searchsorted(np.sort(positive(z, y)), edges, side="right").astype(float)))
+        at = int(np.searchsorted(below, k, side="right"))
+        if at == 0:
+            return float(edges[0])
+        lo, hi = np.nextafter(edges[at - 1], np.inf), edges[at]
+        if below[at] - below[at - 1] <= PARTS:
+            left = _each(logits, lambda _, z, y, lo=lo, hi=hi: positive(z, y)[(positive(z, y) >= lo) & (positive(z, y) <= hi)])
+            return float(np.sort(np.concatenate(left))[int(k - below[at - 1])])
+    return float(lo)
+
+
+def train_on(table: DataFrame, seed: int = SEED, shard: int = SHARD) -> CharNet | None:
+    """A calibrated network from all distinct windows of the labelled findings, or None if one label has none."""
+    shards = dealt(table, seed, shard)
+    if shards is None:
+        return None
+    net = CharNet(seed)
+    state = np.concatenate((net.pack(), net.fresh()))
+    size = len(net.pack())
+    for k in range(EPOCHS):
+
+        def learn(number: int, x: bytes, y: bytes, hx: bytes, hy: bytes, state: np.ndarray = state, k: int = k) -> np.ndarray:
+            own = CharNet(seed)
+            own.unpack(state[:size])
+            after = own.epoch(*_arrays(x, y, seed + number), state[size:], seed + k)
+            return np.concatenate(([len(y)], own.pack(), after))
+
+        got = _each(shards, learn)
+        state = sum(g[0] * g[1:] for g in got) / sum(g[0] for g in got)
+    net.unpack(state[:size])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, x, y, hx, hy in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                codes, labels = _arrays(hx, hy, seed + number) if some_held else _arrays(x, y, seed + number)
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([net.logits(codes).tobytes()], pa.binary()), pa.array([labels.tobytes()], pa.binary())], names=["shard", "z", "y"])
+
+    some_held = shards.where(F.length("hy") > 0).limit(1).count() > 0
+    logits = materialize(shards.mapInArrow(judge, "shard int, z binary, y binary"), "secret-logits")
+    discard(shards)
+    n, positives = sum(_each(logits, lambda _, z, y: np.array([len(np.frombuffer(y)), np.frombuffer(y).sum()])))
+    net.a, net.b = platt_by(lambda at: sum(_each(logits, lambda _, z, y: platt_moments(np.frombuffer(z), np.frombuffer(y), at, n, positives))))
+    if positives:
+        net.threshold = float(net.probability(np.array([_ranked(logits, int((1 - RECALL) * positives))]))[0])
+        net.recall = float(sum(_each(logits, lambda _, z, y: np.array([(net.probability(np.frombuffer(z)[np.frombuffer(y) > 0]) >= net.threshold).sum()])))[0] / positives)
+    discard(logits)
+    return net
 
 
-def find_secrets(docs: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
+def find_secrets(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_found) for every row of ``docs``.
 
     The counts and the digest are those of the base spans; ``spans`` lists all
     spans, ``n_found`` says how many of them the network added.
     """
     table = materialize(span_table(docs), "secret-spans")
-    net = table.sparkSession.sparkContext.broadcast(train_on(table, sample, seed))
+    net = table.sparkSession.sparkContext.broadcast(train_on(table, seed))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib

@@ -438,6 +438,42 @@ def test_threshold_keeps_the_recall():
     assert (net.score(x[:200]) >= net.threshold).mean() >= secret_scan.RECALL
 
 
+def test_training_takes_every_window(spark):
+    """More than 3,000 windows of a label, in many shards: each is learned from or held out, and the sums over shards are those over all rows."""
+    r = np.random.default_rng(7)
+    word = lambda n: "".join(r.choice(list("etaoinshr"), n))
+    texts = [f"{word(9)} {word(18)}{i} {word(5)}" for i in range(3300)] + [f'{word(9)} token = "{"".join(r.choice(list("0123456789abcdef"), 40))}" {word(5)}' for _ in range(40)]
+    table = common.materialize(secret_scan.span_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "test-spans")
+    windows = {(w["before"], w["body"], w["after"], f["label"]) for row in table.collect() for f in row["found"] for w in f["windows"]}
+    assert sorted(sum(w[3] == label for w in windows) for label in (0, 1)) == [40, 3300]
+    shards = secret_scan.dealt(table, shard=512).orderBy("shard").collect()
+    rows = lambda x, y: [(bytes(x[72 * i : 72 * i + 72]), y[i]) for i in range(len(y))]
+    learned, held = [[w for s in shards for w in rows(s[x], s[y])] for x, y in (("x", "y"), ("hx", "hy"))]
+    assert len(shards) == 7 and len(held) == len(set(held)) and not set(held) & set(learned)
+    assert set(held) | set(learned) == {(secret_scan.encode(*w[:3]).astype(np.uint8).tobytes(), w[3]) for w in windows}
+    assert all(len(set(s["y"])) == 2 for s in shards)
+
+    net, again = (secret_scan.train_on(table, shard=512) for _ in range(2))
+    assert (net.pack() == again.pack()).all() and (net.a, net.b, net.threshold) == (again.a, again.b, again.threshold)
+    parts = [secret_scan._arrays(s["hx"], s["hy"], secret_scan.SEED + s["shard"]) for s in shards]
+    x, y = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    found = net.a, net.b, net.threshold, net.recall
+    net.calibrate(x, y)
+    assert np.allclose(found, (net.a, net.b, net.threshold, net.recall), atol=1e-6) and net.recall >= secret_scan.RECALL
+    score = lambda rows: net.score(np.array([secret_scan.encode(*w) for w in rows]))
+    assert (score([(f'{word(9)} token = "', "".join(r.choice(list("0123456789abcdef"), 40)), f'" {word(5)}') for _ in range(50)]) >= net.threshold).mean() > 0.9
+    assert (score([(f"{word(9)} ", word(18) + "7", f" {word(5)}") for _ in range(50)]) >= net.threshold).mean() < 0.1
+
+
+@pytest.mark.parametrize("size", [1, 7, 3000])
+def test_ranked_logit(spark, size):
+    z = np.round(np.random.default_rng(size).normal(size=size), 2)
+    parts = [(k, bytearray(part.tobytes()), bytearray(np.ones(len(part)).tobytes())) for k, part in enumerate(np.array_split(z, 3))]
+    logits = spark.createDataFrame(parts, "shard int, z binary, y binary")
+    for k in {0, size // 50, size // 2, size - 1}:
+        assert secret_scan._ranked(logits, k) == np.sort(z)[k]
+
+
 def test_candidates_of_all_kinds():
     def found(text):
         return [text[a:b] for a, b in secret_scan.candidates(text, secret_scan.base_spans(text))]
