@@ -68,7 +68,7 @@ HEAD_ROUNDS = 2
 WORDS = 16
 #: Line names and bands up to this number may be broadcast (8 bytes each).
 BROADCAST_LINES = 1_000_000
-#: A place is doc_id * PLACE + the line's number, as one decimal; a null doc_id comes before all others.
+#: A place is doc_id * PLACE + the line's number, as one long if all ids allow it and as a decimal otherwise; a null doc_id comes before all others.
 PLACE = 1 << 31
 _NO_ID = str(-(1 << 63) - 1)
 _SPACE = "\t\r\x0b\x0c"
@@ -197,11 +197,17 @@ def _prefix_pairs(prefixes: DataFrame, roots: DataFrame, marks: DataFrame, simil
     """(a, b): the pairs of lines in different components that share a shingle of their prefixes and may reach the similarity; with ``heads`` only those with the shingle's first or last line in an order that this number seeds."""
     rows = _placed(prefixes, roots)
     if heads is None:
+        # shingles whose lines are by now all in one component make no pair
+        ends = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+        rows = rows.join(ends, "token", "left_semi")
+        # a pair meets at all shingles that it shares, but is put out only at the first one, which nothing rarer that both have precedes;
         # the parities go along, so that the join itself puts out only pairs that they do not exclude
-        rows = rows.drop("n").join(marks, "id")
+        rarer = F.collect_list("token").over(Window.partitionBy("id").orderBy(F.desc("left")).rowsBetween(Window.unboundedPreceding, -1))
+        rows = materialize(rows.withColumn("rarer", rarer), "lines-live").drop("n").join(marks, "id")
 
     def side(k: str, r: str, n: str, left: str, parity: str) -> DataFrame:
-        return rows.select("token", F.col("id").alias(k), F.col("root").alias(r), F.col("n").alias(n), F.col("left").alias(left), *([] if heads is not None else _parity_columns(parity)))
+        more = [] if heads is not None else [*_parity_columns(parity), F.col("rarer").alias(f"{k}_rarer")]
+        return rows.select("token", F.col("id").alias(k), F.col("root").alias(r), F.col("n").alias(n), F.col("left").alias(left), *more)
 
     one, two = side("a", "ra", "n", "p", "x"), side("b", "rb", "m", "q", "y")
     if heads is not None:
@@ -212,7 +218,8 @@ def _prefix_pairs(prefixes: DataFrame, roots: DataFrame, marks: DataFrame, simil
     need = similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9
     far = (F.col("ra") != F.col("rb")) & (F.col("p") >= need) & (F.col("q") >= need)
     if heads is None:
-        far = far & (F.col("a") < F.col("b")) & _able(similarity)
+        far = far & (F.col("a") < F.col("b")) & _able(similarity) & ~F.arrays_overlap("a_rarer", "b_rarer")
+        return one.join(two, "token").where(far).select("a", "b")
     return one.join(two, "token").where(far).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -274,11 +281,20 @@ def line_classes(docs: DataFrame, **parameters) -> DataFrame:
 
     Line numbers count all lines of the text from 0.
     """
-    no_id = F.lit(_NO_ID).cast("decimal(20,0)")
-    place = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), no_id) * F.lit(PLACE).cast("decimal(10,0)") + F.col("pos")
-    out = _kept_places(*line_components(docs.select("doc_id", "text"), **parameters), place.cast("decimal(38,0)"))
-    number = F.pmod("keep", F.lit(PLACE).cast("decimal(38,0)"))
-    doc = ((F.col("keep") - number) / F.lit(PLACE).cast("decimal(10,0)")).cast("decimal(20,0)")
+    lines, roots = line_components(docs.select("doc_id", "text"), **parameters)
+    ids = lines.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    if ids["low"] is None or -PLACE < ids["low"] and ids["high"] < PLACE:
+        # places fit into a long
+        no_id = F.lit(-PLACE).cast("long")
+        out = _kept_places(lines, roots, F.coalesce("doc_id", no_id) * F.lit(PLACE).cast("long") + F.col("pos"))
+        number = F.pmod("keep", F.lit(PLACE).cast("long"))
+        doc = F.shiftright("keep", 31)
+    else:
+        no_id = F.lit(_NO_ID).cast("decimal(20,0)")
+        place = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), no_id) * F.lit(PLACE).cast("decimal(10,0)") + F.col("pos")
+        out = _kept_places(lines, roots, place.cast("decimal(38,0)"))
+        number = F.pmod("keep", F.lit(PLACE).cast("decimal(38,0)"))
+        doc = ((F.col("keep") - number) / F.lit(PLACE).cast("decimal(10,0)")).cast("decimal(20,0)")
     return out.select("doc_id", F.col("pos").cast("long").alias("line_no"), F.when(doc != no_id, doc).cast("long").alias("class_doc_id"), number.cast("long").alias("class_line_no"), (F.col("place") == F.col("keep")).alias("kept"))
 
 

@@ -181,6 +181,32 @@ def test_open_bands_lose_no_link(spark, crowd):
     assert {(i, k) for i in root for k in root if root[i] == root[k]} == {(i, k) for i in root for k in root if find(i) == find(k)}
 
 
+def test_prefixes_put_out_a_pair_once(spark):
+    """Lines of one family share most of their rarest shingles; a pair still leaves the join once, and no similar pair is lost."""
+    words = [f"word{i}" for i in range(60)]
+    texts = [" ".join([*words[: k % 50], f"odd{k % 7}", *words[k % 50 + 1 :], f"end{k % 5}"]) for k in range(60)]
+    table = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    marks = common.materialize(minhash_lines._parities(table, 12), "test-marks")
+    crowd, roots = table.select("id", F.col("id").alias("root")), spark.createDataFrame([], "node long, root long")
+    prefixes = minhash_lines._prefixes(crowd, table, marks, 12, 0.8)
+    pairs = minhash_lines._prefix_pairs(prefixes, roots, marks, 0.8, None)
+    got = [(r["a"], r["b"]) for r in pairs.collect()]
+    assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString() and len(got) == len(set(got))
+    assert {(i, k) for k in range(60) for i in range(k) if jaccard(texts[i], texts[k]) >= 0.8} <= set(got)
+
+
+@pytest.mark.parametrize("far", [[], [1 << 31], [-(1 << 31)], [(1 << 63) - 1, -(1 << 63)]])
+def test_places_of_all_ids(spark, far):
+    """Null, negative and the largest ids, whose places do not fit into a long."""
+    ids = [5, None, 0, -3, (1 << 31) - 1, 1 - (1 << 31), *far]
+    docs = spark.createDataFrame([(i, f"{hashlib.sha256(str(i).encode()).hexdigest()}\nthe same line in all of them") for i in ids], "doc_id long, text string")
+    got = {(r["doc_id"], r["line_no"]): (r["class_doc_id"], r["class_line_no"], r["kept"]) for r in minhash_lines.line_classes(docs).collect()}
+    assert got == {(i, 0): (i, 0, True) for i in ids} | {(i, 1): (None, 1, i is None) for i in ids}
+    docs = docs.where("doc_id is not null")
+    got = {r["doc_id"]: r["class_doc_id"] for r in minhash_lines.line_classes(docs).where("line_no = 1").collect()}
+    assert got == dict.fromkeys((i for i in ids if i is not None), min(i for i in ids if i is not None))
+
+
 def test_a_large_group_of_near_lines_is_one_class(spark):
     words = [f"word{i}" for i in range(60)]
     rows = [(k, " ".join([*words[:30], f"odd{k}", *words[31:]])) for k in range(300)]
