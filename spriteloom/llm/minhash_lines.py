@@ -46,6 +46,7 @@ whatever their names, pass through ``drop_repeated_lines`` untouched.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -64,6 +65,8 @@ TIERS = ("mpcdg", "aeio")
 CROWD = 64
 #: How often a shingle's first and last line, each time in another order, are verified before the pairs that are left.
 HEAD_ROUNDS = 2
+#: Parts in which the bands are counted, one after another.
+BAND_PARTS = 2
 #: Words of 64 parities by which pairs are excluded before their sets are made (a power of two).
 WORDS = 16
 #: Line names and bands up to this number may be broadcast (8 bytes each).
@@ -163,11 +166,23 @@ def _parity_columns(name: str) -> list[Column]:
     return [F.col(f"p{w}").alias(f"{name}{w}") for w in range(WORDS)]
 
 
+def _ends(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``lines`` that stored pairs (a, b) name, so that only these are shuffled, or all if the pairs are not few."""
+    if 2 * pairs.count() > BROADCAST_LINES:
+        return lines
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    return lines.join(F.broadcast(ids), "id", "left_semi")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of lines whose shingle sets have at least the similarity; pairs that their parities exclude need no sets."""
-    one = marks.select(F.col("id").alias("a"), "n", *_parity_columns("x"))
-    two = marks.select(F.col("id").alias("b"), F.col("n").alias("m"), *_parity_columns("y"))
-    able = pairs.join(one, "a").join(two, "b").where(_able(similarity)).select("a", "b", "n", "m")
+    pairs = materialize(pairs, "lines-pairs")
+    known = _ends(marks, pairs)
+    one = known.select(F.col("id").alias("a"), "n", *_parity_columns("x"))
+    two = known.select(F.col("id").alias("b"), F.col("n").alias("m"), *_parity_columns("y"))
+    able = materialize(pairs.join(one, "a").join(two, "b").where(_able(similarity)).select("a", "b", "n", "m"), "lines-able")
+    discard(pairs)
+    texts = _ends(texts, able)
     joined = able.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     # the sets are several times the texts, so they are made behind the shuffles
     both = F.size(F.array_intersect(shingles(F.col("x"), size), shingles(F.col("y"), size)))
@@ -176,18 +191,47 @@ def _verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, size: int, s
 
 def _prefixes(crowd: DataFrame, texts: DataFrame, marks: DataFrame, size: int, similarity: float) -> DataFrame:
     """(id, n, token, left): of each line of ``crowd`` (id, root) the rarest shingles, one of which it shares with any line that reaches the similarity; left is how many shingles follow, itself included."""
-    tokens = materialize(_tokens(texts.join(crowd, "id").join(marks.select("id", "n"), "id"), size), "lines-tokens")
+    tokens = materialize(_tokens(texts.join(crowd, "id"), size), "lines-tokens")
     # a shingle of one line, or of one component's lines, makes no pair, but has its place among the rarest
     often = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token", "df")
-    shared = tokens.select("id", "n", "token").join(often, "token")
+    often = materialize(often, "lines-often")
+    shared = tokens.select("id", "token").join(often, "token")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
-    before = F.col("n") - F.count("*").over(Window.partitionBy("id"))
-    left = shared.select("id", "n", "token", (F.col("n") - (before + rank - 1)).alias("left"))
-    prefixes = materialize(left.where(F.col("left") >= similarity * F.col("n") - 1e-9), "lines-prefixes")
+    # the shingles that are not shared come before all others
+    left = shared.select("id", "token", (F.count("*").over(Window.partitionBy("id")) - rank + 1).alias("left")).join(marks.select("id", "n"), "id")
+    ranked = materialize(left.where(F.col("left") >= similarity * F.col("n") - 1e-9), "lines-ranked")
     discard(tokens)
+    discard(often)
+    prefixes = materialize(_live(ranked.join(crowd, "id"), similarity).select("id", "n", "token", "left"), "lines-prefixes")
+    discard(ranked)
     return prefixes
 
 
+def _live(rows: DataFrame, similarity: float) -> DataFrame:
+    """The rows (token, id, root, n, left) whose shingle a line of another component and of a fitting length has in its prefix too; longer and shorter tell in which places of a pair.
+
+    The shorter line of a pair needs the whole intersection behind their first shared
+    shingle, which for its own length is a larger part than for the longer one's.
+    Lines whose lengths fit are at most one class of lengths apart.
+    """
+    width = math.log(1 / max(similarity, 1e-9)) + 1e-6
+    rows = rows.withColumn("length", F.floor(F.log(F.col("n").cast("double")) / width).cast("int")).withColumn("early", F.col("left") >= 2 * similarity / (1 + similarity) * F.col("n") - 1e-9)
+    early = F.when(F.col("early"), F.col("root"))
+    ends = rows.groupBy("token", "length").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(early).alias("early_lo"), F.max(early).alias("early_hi"))
+    none = F.lit(None).cast("long")
+
+    def seen(length: Column, longer: bool, shorter: bool) -> Column:
+        """The roots of the longer and the shorter lines that a line of this length may meet."""
+        return F.struct(length.alias("length"), *((F.col(c) if own else none).alias(c) for c, own in (("lo", longer), ("hi", longer), ("early_lo", shorter), ("early_hi", shorter))))
+
+    near = F.array(seen(F.col("length"), True, True), seen(F.col("length") + 1, False, True), seen(F.col("length") - 1, True, False))
+    reach = ends.select("token", F.explode(near).alias("s")).select("token", "s.*").groupBy("token", "length").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("early_lo").alias("early_lo"), F.max("early_hi").alias("early_hi"))
+    reach = reach.where("least(lo, early_lo) <> greatest(hi, early_hi)")
+    other = lambda lo, hi: F.coalesce((F.col(lo) != F.col("root")) | (F.col(hi) != F.col("root")), F.lit(False))
+    found = rows.join(reach, ["token", "length"]).withColumn("longer", other("early_lo", "early_hi")).withColumn("shorter", F.col("early") & other("lo", "hi"))
+    return found.where("longer or shorter").select("token", "id", "root", "n", "left", "longer", "shorter")
+
+
 def _placed(df: DataFrame, roots: DataFrame) -> DataFrame:
     """With the root of every line's component; a line without links is its own."""
     return df.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -197,17 +241,16 @@ def _prefix_pairs(prefixes: DataFrame, roots: DataFrame, marks: DataFrame, simil
     """(a, b): the pairs of lines in different components that share a shingle of their prefixes and may reach the similarity; with ``heads`` only those with the shingle's first or last line in an order that this number seeds."""
     rows = _placed(prefixes, roots)
     if heads is None:
-        # shingles whose lines are by now all in one component make no pair
-        ends = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-        rows = rows.join(ends, "token", "left_semi")
         # a pair meets at all shingles that it shares, but is put out only at the first one, which nothing rarer that both have precedes;
         # the parities go along, so that the join itself puts out only pairs that they do not exclude
         rarer = F.collect_list("token").over(Window.partitionBy("id").orderBy(F.desc("left")).rowsBetween(Window.unboundedPreceding, -1))
-        rows = materialize(rows.withColumn("rarer", rarer), "lines-live").drop("n").join(marks, "id")
+        rows = _live(rows, similarity).withColumn("rarer", rarer).drop("n")
+        rows = materialize(rows.join(marks, "id"), "lines-live")
 
     def side(k: str, r: str, n: str, left: str, parity: str) -> DataFrame:
         more = [] if heads is not None else [*_parity_columns(parity), F.col("rarer").alias(f"{k}_rarer")]
-        return rows.select("token", F.col("id").alias(k), F.col("root").alias(r), F.col("n").alias(n), F.col("left").alias(left), *more)
+        own = rows if heads is not None else rows.where("longer" if k == "a" else "shorter")
+        return own.select("token", F.col("id").alias(k), F.col("root").alias(r), F.col("n").alias(n), F.col("left").alias(left), *more)
 
     one, two = side("a", "ra", "n", "p", "x"), side("b", "rb", "m", "q", "y")
     if heads is not None:
@@ -218,8 +261,9 @@ def _prefix_pairs(prefixes: DataFrame, roots: DataFrame, marks: DataFrame, simil
     need = similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9
     far = (F.col("ra") != F.col("rb")) & (F.col("p") >= need) & (F.col("q") >= need)
     if heads is None:
-        far = far & (F.col("a") < F.col("b")) & _able(similarity) & ~F.arrays_overlap("a_rarer", "b_rarer")
-        return one.join(two, "token").where(far).select("a", "b")
+        # the longer line of a pair is a
+        far = far & (F.struct("n", "a") > F.struct(F.col("m").alias("n"), F.col("b").alias("a"))) & _able(similarity) & ~F.arrays_overlap("a_rarer", "b_rarer")
+        return one.join(two, "token").where(far).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return one.join(two, "token").where(far).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -229,8 +273,13 @@ def line_components(docs: DataFrame, size: int = SHINGLE, k: int = SKETCH, run:
     signed = materialize(lines.select("doc_id", *_row(lines), "pos", "id", "more", bands(sketch(F.col("line"), size, k), run).alias("bands")), "lines-signed")
     banded = signed.select("id", F.explode("bands").alias("band"))
     # bands that two or more different lines share
-    heads = banded.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").select("band", "head")
-    heads = materialize(heads, "lines-heads")
+    heads = None
+    for part in range(BAND_PARTS):
+        # a part of the bands at a time, as what is shuffled for them is more than all else that is stored
+        own = banded.where(F.pmod("band", F.lit(BAND_PARTS).cast("long")) == part)
+        some = own.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").select("band", "head")
+        some = materialize(some, "lines-heads")
+        heads = some if heads is None else heads.union(some)
     met = materialize(banded.join(_few(heads), "band").distinct(), "lines-met")
     # the texts of the lines that met, from one more reading of the documents
     wanted = _few(materialize(met.select("id").distinct(), "lines-wanted"))
@@ -239,7 +288,6 @@ def line_components(docs: DataFrame, size: int = SHINGLE, k: int = SKETCH, run:
     # the bands are most of that table and no longer needed
     numbered = materialize(signed.drop("bands"), "lines-numbered")
     discard(signed)
-    discard(heads)
     marks = materialize(_parities(texts, size), "lines-marks")
 
     def linked(pairs: DataFrame, roots: DataFrame | None = None) -> DataFrame:
@@ -301,10 +349,12 @@ def line_classes(docs: DataFrame, **parameters) -> DataFrame:
 def _kept_places(lines: DataFrame, roots: DataFrame, place: Column) -> DataFrame:
     """``lines`` with their place and the place of their class's first line (keep)."""
     lines = lines.withColumn("place", place)
-    named = lines.groupBy("id", "more").agg(F.min("place").alias("first")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = lines.groupBy("id", "more").agg(F.min("place").alias("first"), F.count("*").alias("copies")).join(roots, "id", "left")
+    # a line without a copy or a link is its own class's first line and meets nothing
+    named = named.where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "id"))
     linked = named.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("best"))
     named = named.join(linked, "root", "left").select("id", "more", F.coalesce("best", "first").alias("keep"))
-    return lines.join(named, ["id", "more"])
+    return lines.join(named, ["id", "more"], "left").withColumn("keep", F.coalesce("keep", "place"))
 
 
 def drop_repeated_lines(docs: DataFrame, **parameters) -> DataFrame:

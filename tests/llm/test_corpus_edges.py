@@ -195,6 +195,23 @@ def test_prefixes_put_out_a_pair_once(spark):
     assert {(i, k) for k in range(60) for i in range(k) if jaccard(texts[i], texts[k]) >= 0.8} <= set(got)
 
 
+def test_prefixes_hold_only_lines_that_may_meet(spark):
+    """Lines that share a passage, but whose lengths do not fit, leave no rows; those whose lengths just fit lose no pair."""
+    words = [f"word{i:03}" for i in range(900)]
+
+    def found(texts):
+        table = common.materialize(spark.createDataFrame(list(enumerate(texts)), "id long, line string"), "test-texts")
+        marks = common.materialize(minhash_lines._parities(table, 12), "test-marks")
+        prefixes = minhash_lines._prefixes(table.select("id", F.col("id").alias("root")), table, marks, 12, 0.8)
+        pairs = minhash_lines._prefix_pairs(prefixes, spark.createDataFrame([], "node long, root long"), marks, 0.8, None)
+        return prefixes.count(), {(r["a"], r["b"]) for r in minhash_lines._verified(pairs, table, marks, 12, 0.8).collect()}
+
+    assert found([" ".join(words[: int(40 * 1.6**k)]) for k in range(6)]) == (0, set())
+    texts = [" ".join([*words[k % 3 : 30 + k % 3 + k // 2], *[f"odd{k}"] * (k % 4 == 0)]) for k in range(50)]
+    links = {(i, k) for k in range(50) for i in range(k) if jaccard(texts[i], texts[k]) >= 0.8}
+    assert 100 < len(links) < 1000 and found(texts)[1] == links
+
+
 @pytest.mark.parametrize("far", [[], [1 << 31], [-(1 << 31)], [(1 << 63) - 1, -(1 << 63)]])
 def test_places_of_all_ids(spark, far):
     """Null, negative and the largest ids, whose places do not fit into a long."""
