@@ -16,8 +16,11 @@ document) stays.
 Not all pairs of a band are formed:
 
 1. Every line of a band is verified against the band's smallest line only.
-2. Bands that still hold lines of different components are open.  Where these make
-   at most ``CROWD`` pairs, the pairs are verified.
+2. Bands of the same smallest line are one from here on; those that still hold lines of
+   different components are open.  Where their lines make at most ``CROWD`` pairs, the
+   parities of each pair are compared in the join of the band with itself.  Of the
+   pairs that these do not exclude, every line's with its smallest and its largest
+   partner are verified first, and then those that still lie between different components.
 3. The lines of all other open bands are joined by prefix filtering, which is exact:
    with the shingles of a line ordered from the rarest to the most frequent one, two
    lines that reach the similarity share a shingle in their first parts, and what lies
@@ -48,6 +51,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,14 +65,16 @@ RUN = 3
 SIMILARITY = 0.8
 #: Letters whose shingles come first in the order of the signature, and those that come next.
 TIERS = ("mpcdg", "aeio")
-#: Pairs of lines in different components up to which an open band is verified pair by pair.
-CROWD = 64
+#: Pairs of lines up to which an open band is compared pair by pair (2,048 lines); by prefixes, a line costs as much as its parities against some 100,000 others.
+CROWD = 1 << 21
 #: How often a shingle's first and last line, each time in another order, are verified before the pairs that are left.
 HEAD_ROUNDS = 2
 #: Parts in which the bands are counted, one after another.
 BAND_PARTS = 2
 #: Words of 64 parities by which pairs are excluded before their sets are made (a power of two).
 WORDS = 16
+#: Words to which these are folded where all pairs of a band are compared: with more, the join's code is too long for the JVM to compile.
+FOLDED = 8
 #: Line names and bands up to this number may be broadcast (8 bytes each).
 BROADCAST_LINES = 1_000_000
 #: A place is doc_id * PLACE + the line's number, as one long if all ids allow it and as a decimal otherwise; a null doc_id comes before all others.
@@ -84,7 +90,7 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def shingles(line: Column, size: int = SHINGLE) -> Column:
     """All character shingles of a line, repeats included; a line shorter than a shingle is one."""
-    return F.when(F.length(line) < size, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{size}}})).")))
+    return F.when(F.length(line) < size, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(rf"(?s)(?=({'.' * size})).")))
 
 
 def sketch(line: Column, size: int = SHINGLE, k: int = SKETCH) -> Column:
@@ -93,7 +99,7 @@ def sketch(line: Column, size: int = SHINGLE, k: int = SKETCH) -> Column:
 
     def tier(letter: str) -> Column:
         """The hashes of the shingles that begin with such a letter, which itself is left out."""
-        found = F.regexp_extract_all(line, F.lit(rf"(?s){letter}(?=(.{{{size - 1}}}))"))
+        found = F.regexp_extract_all(line, F.lit(rf"(?s){letter}(?=({'.' * (size - 1)}))"))
         return F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))), 1, k)
 
     def filled(low: Column, rest: list[str]) -> Column:
@@ -116,12 +122,17 @@ def _row(df: DataFrame) -> list[str]:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, line), and row if ``docs`` has it, of the lines that are not blank; the line is stripped of white space at its ends and its runs collapse."""
-    flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_row(docs), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("pos", "line"))
-    odd = F.contains("line", F.lit("  "))
+    text = F.col("text").cast("string")
+    # other white space than a space is rare, so it is looked for once per text
+    odd = F.lit(False)
     for c in _SPACE:
-        odd = odd | F.contains("line", F.lit(c))
-    clean = F.trim(F.when(odd, F.regexp_replace("line", r"[\x09-\x0D\x20]+", " ")).otherwise(F.col("line")))
-    return flat.select("doc_id", *_row(docs), "pos", clean.alias("line")).where("line <> ''")
+        odd = odd | F.contains(text, F.lit(c))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_row(docs), text.alias("text"), odd.alias("odd"))
+    flat = docs.select("doc_id", *_row(docs), "odd", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    # blank lines go by their beginning, so that no line is cleaned twice
+    flat = flat.where(F.ltrim("line", F.lit(" " + _SPACE)) != "")
+    clean = F.trim(F.when(F.col("odd") | F.contains("line", F.lit("  ")), F.regexp_replace("line", r"[\x09-\x0D\x20]+", " ")).otherwise(F.col("line")))
+    return flat.select("doc_id", *_row(docs), "pos", clean.alias("line"))
 
 
 def _named(lines: DataFrame) -> DataFrame:
@@ -152,18 +163,18 @@ def _reached(both: Column, similarity: float) -> Column:
     return both * (1 + similarity) >= similarity * (F.col("n") + F.col("m")) - 1e-9
 
 
-def _able(similarity: float) -> Column:
+def _able(similarity: float, words: int = WORDS) -> Column:
     """Whether lines of n and m shingles with parities x0 ... and y0 ... may reach the similarity.
 
     A shingle of both lines changes the same parity in either, so the bits in which
     their parities differ are at most as many as the shingles that only one of them has.
     """
-    apart = sum((F.bit_count(F.col(f"x{w}").bitwiseXOR(F.col(f"y{w}"))) for w in range(WORDS)), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"x{w}").bitwiseXOR(F.col(f"y{w}"))) for w in range(words)), F.lit(0))
     return _reached(F.least(F.col("n"), F.col("m"), (F.col("n") + F.col("m") - apart) / 2), similarity)
 
 
-def _parity_columns(name: str) -> list[Column]:
-    return [F.col(f"p{w}").alias(f"{name}{w}") for w in range(WORDS)]
+def _parity_columns(name: str, words: int = WORDS) -> list[Column]:
+    return [F.col(f"p{w}").alias(f"{name}{w}") for w in range(words)]
 
 
 def _ends(lines: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -176,12 +187,47 @@ def _ends(lines: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of lines whose shingle sets have at least the similarity; pairs that their parities exclude need no sets."""
+    return _similar(_able_pairs(pairs, marks, similarity), texts, size, similarity)
+
+
+def _able_pairs(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, n, m): the pairs (a, b) that their parities do not exclude, with their numbers of shingles."""
     pairs = materialize(pairs, "lines-pairs")
     known = _ends(marks, pairs)
     one = known.select(F.col("id").alias("a"), "n", *_parity_columns("x"))
     two = known.select(F.col("id").alias("b"), F.col("n").alias("m"), *_parity_columns("y"))
     able = materialize(pairs.join(one, "a").join(two, "b").where(_able(similarity)).select("a", "b", "n", "m"), "lines-able")
     discard(pairs)
+    return able
+
+
+def _band_pairs(left: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): of the rows (band, id, root) the pairs of lines that share a band, are in different components and are not excluded by their folded parities."""
+    folded = [reduce(Column.bitwiseXOR, [F.col(f"p{w}") for w in range(k, WORDS, FOLDED)]).alias(f"p{k}") for k in range(FOLDED)]
+    rows = materialize(left.select("band", "id", "root").join(marks.select("id", "n", *folded), "id"), "lines-rows")
+    one = rows.select("band", F.col("id").alias("a"), F.col("root").alias("ra"), "n", *_parity_columns("x", FOLDED))
+    two = rows.select("band", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("m"), *_parity_columns("y", FOLDED))
+    far = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
+    return one.join(two, "band").where(far & _able(similarity, FOLDED)).select("a", "b").distinct()
+
+
+def _apart(able: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs of ``able`` that are in different components."""
+    for end in ("a", "b"):
+        able = able.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left")
+    return able.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "n", "m")
+
+
+def _first_partners(able: DataFrame) -> DataFrame:
+    """Of the pairs ``able`` those of each line with its smallest and its largest partner."""
+    ends = able.select(F.col("a").alias("id"), F.col("b").alias("other")).union(able.select(F.col("b").alias("id"), F.col("a").alias("other")))
+    ends = ends.groupBy("id").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).select("id", F.explode(F.array("lo", "hi")).alias("other"))
+    chosen = ends.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    return able.join(chosen, ["a", "b"], "left_semi")
+
+
+def _similar(able: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of the stored pairs ``able`` (a, b, n, m) whose shingle sets have at least the similarity."""
     texts = _ends(texts, able)
     joined = able.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     # the sets are several times the texts, so they are made behind the shuffles
@@ -290,9 +336,9 @@ def line_components(docs: DataFrame, size: int = SHINGLE, k: int = SKETCH, run:
     discard(signed)
     marks = materialize(_parities(texts, size), "lines-marks")
 
-    def linked(pairs: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-        """The components of all links so far; those of ``pairs`` join earlier components only by their roots."""
-        found = materialize(_verified(pairs, texts, marks, size, similarity), "lines-links")
+    def linked(able: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+        """The components of all links so far; those of the stored pairs ``able`` join earlier components only by their roots."""
+        found = materialize(_similar(able, texts, size, similarity), "lines-links")
         if roots is None:
             return materialize(connected_components(found, "a", "b"), "lines-roots")
         for end in ("a", "b"):
@@ -303,24 +349,22 @@ def line_components(docs: DataFrame, size: int = SHINGLE, k: int = SKETCH, run:
         moved = roots.join(higher, "root", "left").select("node", F.coalesce("__top", "root").alias("root"))
         return materialize(moved.union(top.join(roots, "node", "left_anti")), "lines-roots")
 
-    roots = linked(met.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
-    # open bands: lines of different components, of which the head has met all
-    placed = materialize(_placed(met, roots), "lines-placed")
-    parts = placed.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("inside"), F.count("*").alias("roots"))
-    open_bands = parts.where("n > 2 and roots > 1").select("band", ((F.col("n") * F.col("n") - F.col("inside")) / 2 <= crowd).alias("small"))
+    pairs = met.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    roots = linked(_able_pairs(pairs, marks, similarity))
+    # lines of different components in bands of the same head, which has met them all
+    placed = materialize(_placed(met.select("id", F.col("head").alias("band")).distinct(), roots), "lines-placed")
+    parts = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    open_bands = parts.where("n > 2 and lo <> hi").select("band", (F.col("n") * (F.col("n") - 1) / 2 <= crowd).alias("small"))
     left = materialize(placed.join(open_bands, "band"), "lines-open")
     if left.limit(1).count():
-        one = left.where("small and id <> head").select("band", F.col("id").alias("a"), F.col("root").alias("ra"))
-        two = left.where("small and id <> head").select("band", F.col("id").alias("b"), F.col("root").alias("rb"))
-        pairs = one.join(two, "band").where("a < b and ra <> rb").select("a", "b").distinct()
+        able = _able_pairs(_band_pairs(left.where("small and id <> band"), marks, similarity), marks, similarity)
+        roots = linked(materialize(_first_partners(able), "lines-able"), roots)
+        roots = linked(materialize(_apart(able, roots), "lines-able"), roots)
         many = materialize(left.where("not small").select("id", "root").distinct(), "lines-crowd")
         if many.limit(1).count():
             prefixes = _prefixes(many, texts, marks, size, similarity)
-            for seed in range(HEAD_ROUNDS):
-                roots = linked(pairs.union(_prefix_pairs(prefixes, roots, marks, similarity, seed)).distinct(), roots)
-                pairs = pairs.limit(0)
-            pairs = _prefix_pairs(prefixes, roots, marks, similarity, None)
-        roots = linked(pairs, roots)
+            for seed in [*range(HEAD_ROUNDS), None]:
+                roots = linked(_able_pairs(_prefix_pairs(prefixes, roots, marks, similarity, seed), marks, similarity), roots)
     return numbered, roots.select(F.col("node").alias("id"), "root")
 
 

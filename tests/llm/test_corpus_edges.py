@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
 import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -181,6 +182,26 @@ def test_open_bands_lose_no_link(spark, crowd):
     assert {(i, k) for i in root for k in root if root[i] == root[k]} == {(i, k) for i in root for k in root if find(i) == find(k)}
 
 
+def test_bands_of_some_lines_need_no_prefixes(spark, monkeypatch):
+    """150 lines with one passage in families of three: compared in the band itself, also across bands of one head, and no link is lost."""
+    monkeypatch.setattr(minhash_lines, "_prefixes", lambda *_: pytest.fail("prefixes for a band of some lines"))
+    passage = " ".join(f"mp{k}cd" for k in range(30))
+    texts = [f"{passage} " + " ".join(f"tail{family}x{k}" for k in range(25)) + f" end{copy}" for family in range(50) for copy in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_doc_id"] for r in minhash_lines.line_classes(docs).collect()}
+    assert jaccard(texts[0], texts[1]) >= 0.8 > jaccard(texts[0], texts[3])
+    assert got == {k: k - k % 3 for k in range(150)}
+
+
+def test_lines_of_all_white_space(spark):
+    """Lines are cut at line feeds alone, all other white space is one space, and blank lines keep their numbers."""
+    texts = ["a  b\n\t \r\n \n\x0b\x0c\nc\td\r\n e ", " \t", "", None, "x\ny  \n\n  z", "\u00a0\n\x0bq\x0c\x0cr"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["pos"]): r["line"] for r in minhash_lines._lines(docs).collect()}
+    want = {(i, n): re.sub(r"[\t\r\x0b\x0c ]+", " ", x).strip(" ") for i, t in enumerate(texts) for n, x in enumerate((t or "").split("\n"))}
+    assert got == {k: x for k, x in want.items() if x}
+
+
 def test_prefixes_put_out_a_pair_once(spark):
     """Lines of one family share most of their rarest shingles; a pair still leaves the join once, and no similar pair is lost."""
     words = [f"word{i}" for i in range(60)]
